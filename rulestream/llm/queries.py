@@ -77,3 +77,44 @@ def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     vocabulary = public_vocabulary()
     coded = encode(table(spark, sf_dir, "documents").select("doc_id", "text"), vocabulary)
     return decode(coded, vocabulary).select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+@query
+def op1_line_frequency_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from rulestream.llm.qualityrules import apply_rules
+
+    ruled = apply_rules(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
+    return ruled.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "removed_words")
+
+
+ORACLES["op1_line_frequency_rules"] = r"""
+WITH d AS (
+  SELECT doc_id, source, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w,
+         string_split(coalesce(text, ''), chr(10)) AS lines
+  FROM documents
+), win AS (
+  SELECT doc_id, i, array_to_string(w[i:i+7], ' ') AS x FROM (SELECT doc_id, w, unnest(range(1, len(w) - 6)) AS i FROM d)
+), rep AS (
+  SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, x) AS n FROM win) WHERE n > 1
+), cov AS (
+  SELECT doc_id, CAST(sum(least(8, coalesce(nxt - i, 8))) AS BIGINT) AS n_repeat_words
+  FROM (SELECT doc_id, i, lead(i) OVER (PARTITION BY doc_id ORDER BY i) AS nxt FROM rep) GROUP BY doc_id
+), ln AS (
+  SELECT doc_id, source, array_to_string(regexp_extract_all(lower(l), '[^\x20\x09-\x0D]+'), ' ') AS key,
+         len(regexp_extract_all(l, '[^\x20\x09-\x0D]+')) AS n, l
+  FROM (SELECT doc_id, source, unnest(lines) AS l FROM d)
+), common AS (
+  SELECT source, key FROM ln WHERE key <> '' GROUP BY source, key HAVING count(DISTINCT doc_id) >= 20
+), gone AS (
+  SELECT doc_id, CAST(sum(n) AS BIGINT) AS removed_words FROM ln JOIN common USING (source, key) GROUP BY doc_id
+), dup AS (
+  SELECT doc_id, count(*) - count(DISTINCT l) AS n_dup_lines FROM ln WHERE key <> '' GROUP BY doc_id
+), s AS (
+  SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars,
+         CAST(length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+         coalesce(n_dup_lines, 0) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words,
+         coalesce(removed_words, 0) AS removed_words
+  FROM d LEFT JOIN cov USING (doc_id) LEFT JOIN gone USING (doc_id) LEFT JOIN dup USING (doc_id)
+), b AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM s)
+SELECT *, NOT base_failed AND n_words - removed_words >= 20 AND n_words - removed_words >= 0.5 * n_words AS kept FROM b
+"""
