@@ -118,3 +118,13 @@ WITH d AS (
 ), b AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM s)
 SELECT *, NOT base_failed AND n_words - removed_words >= 20 AND n_words - removed_words >= 0.5 * n_words AS kept FROM b
 """
+
+
+@query
+def op3_class_models(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from rulestream.llm.common import held_out
+    from rulestream.llm.toxicity import score_documents, train
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = train(docs, table(spark, sf_dir, "labels"))
+    return score_documents(docs, model).select("doc_id", held_out(F.col("doc_id"), 5, 0).alias("held_out"), "score", "predicted")
