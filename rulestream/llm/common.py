@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import tempfile
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 #: ASCII white space: space and U+0009 to U+000D. Words are runs of anything else.
 WS_CHARS = " \t\n\x0b\x0c\r"
@@ -55,27 +56,30 @@ def byte_texts(column: pa.Array | pa.ChunkedArray) -> list[bytes]:
     return [x or b"" for x in column.cast(kind).to_pylist()]
 
 
-def arrow_rows(schema: T.StructType | pa.Schema, rows: Iterable[tuple], size: int = 4096, limit: int = 16 << 20) -> Iterator[pa.RecordBatch]:
-    """Record batches of ``rows``; a batch also ends once its byte strings pass ``limit``."""
-    held: list[tuple] = []
-    weight = 0
-    for row in rows:
-        held.append(row)
-        weight += sum(len(x) for x in row if isinstance(x, (bytes, str)))
-        if len(held) >= size or weight >= limit:
-            yield _batch(schema, held)
-            held, weight = [], 0
-    if held:
-        yield _batch(schema, held)
+def add_columns(df: DataFrame, fields: str, source: str, fill: Callable[[], Callable[[list[bytes | None]], list[list]]], rows: int = 256) -> DataFrame:
+    """``df`` with columns made by Python from the text or bytes column ``source``, which come last.
 
-
-def _batch(schema: pa.Schema, rows: list[tuple]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
-
-
-def spread(docs: DataFrame) -> DataFrame:
-    """``docs`` as it is read: the scan's split size sets the tasks, so no shuffle is added."""
-    return docs
+    ``fill()`` is called once for each task and gives a function from some values (UTF-8 bytes or
+    None) to the new columns' values. It is called for ``rows`` rows at a time and its results leave
+    at once, so a worker holds no more than one Arrow batch of input and one slice of output.
+    """
+    names = [f.name for f in T._parse_datatype_string(fields)]
+    df = df.drop(*names)
+    schema = T.StructType([*df.schema.fields, *T._parse_datatype_string(fields)])
+    kinds = [to_arrow_type(f.dataType) for f in T._parse_datatype_string(fields)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        work = fill()
+        for batch in batches:
+            for at in range(0, batch.num_rows, rows):
+                part = batch.slice(at, rows)
+                values = part.column(source)
+                if not pa.types.is_binary(values.type) and not pa.types.is_large_binary(values.type):
+                    values = values.cast(pa.large_binary() if pa.types.is_large_string(values.type) else pa.binary())
+                made = [pa.array(v, k) for v, k in zip(work(values.to_pylist()), kinds)]
+                yield pa.RecordBatch.from_arrays([*part.columns, *made], names=[*part.schema.names, *names])
+
+    return df.mapInArrow(run, schema)
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, parts: int, part: int, per_class: int) -> DataFrame:

@@ -128,3 +128,23 @@ def op3_class_models(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = train(docs, table(spark, sf_dir, "labels"))
     return score_documents(docs, model).select("doc_id", held_out(F.col("doc_id"), 5, 0).alias("held_out"), "score", "predicted")
+
+
+@query
+def op8_rule_ensemble(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from rulestream.llm.common import held_out
+    from rulestream.llm.rulefit import score_documents, train
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    ensemble = train(docs, table(spark, sf_dir, "labels"))
+    return score_documents(docs, ensemble, least=0.7).select("doc_id", held_out(F.col("doc_id"), 4, 2).alias("held_out"), "score", "predicted")
+
+
+@query
+def op10_family_then_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from rulestream.llm.common import held_out
+    from rulestream.llm.langid import identify, train
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
+    found = identify(docs.select("doc_id", "text"), train(docs))
+    return found.select("doc_id", held_out(F.col("doc_id"), 3, 1).alias("held_out"), "lang_pred", "score")
