@@ -23,13 +23,14 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import regex
 import tiktoken
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from rulestream.llm.common import add_columns
+
 CHUNK_CHARS = 32_768
 OVERLAP_CHARS = 1_024
 
@@ -76,80 +77,78 @@ def encode_chunk(loaded, text: str, begin: int, end: int, last: bool) -> tuple[i
     return first, stop, _pack(encoding.encode_ordinary(text[first:stop]))
 
 
-def _chunks(text: str, size: int, overlap: int) -> Iterator[tuple[int, int, str, int, int, bool]]:
-    n = max(1, -(-len(text) // size))
-    for k in range(n):
-        start, end = k * size, min(len(text), (k + 1) * size)
-        low, high = max(0, start - overlap), min(len(text), end + overlap)
-        yield k, low, text[low:high], start - low, end - low, k == n - 1
-
+def encode(docs: DataFrame, vocabulary: Vocabulary, chunk_chars: int = CHUNK_CHARS, overlap_chars: int = OVERLAP_CHARS, decoded: str | None = None) -> DataFrame:
+    """``docs`` with ``ids`` and ``n_tokens``, and with the decoded bytes if a name is given for them.
 
-def encode(docs: DataFrame, vocabulary: Vocabulary, chunk_chars: int = CHUNK_CHARS, overlap_chars: int = OVERLAP_CHARS) -> DataFrame:
-    """``docs`` with ``ids`` and ``n_tokens``."""
+    A column ``decoded`` is made from the ids, in the same pass over the text.
+    """
     shared = docs.sparkSession.sparkContext.broadcast((vocabulary.data, vocabulary.pattern))
-    names = [c for c in docs.columns if c not in ("ids", "n_tokens")]
-    docs = docs.select(*names)
-    whole = _whole_encoder(shared)
+    docs = docs.drop("ids", "n_tokens", *[decoded] * bool(decoded))
     is_long = F.coalesce(F.length("text"), F.lit(0)) > chunk_chars
-    short = docs.where(~is_long).withColumn("ids", whole("text"))
-    long = _encode_long(docs.where(is_long), shared, whole, chunk_chars, overlap_chars)
+    short = add_columns(docs.where(~is_long), _fields(decoded), "text", lambda: _whole(shared.value, bool(decoded)))
+    long = _encode_long(docs.where(is_long), shared, chunk_chars, overlap_chars)
+    if decoded:
+        long = decode(long, vocabulary, into=decoded)
     return short.unionByName(long).withColumn("n_tokens", F.expr("octet_length(ids) div 4"))
 
 
-def _whole_encoder(shared):
-    @F.pandas_udf("binary")
-    def whole(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        encoding = _load(*shared.value)[0]
-        for part in parts:
-            yield pd.Series([_pack(encoding.encode_ordinary(t)) if t else b"" for t in part], dtype=object)
+def _fields(decoded: str | None) -> str:
+    return "ids binary" + (f", `{decoded}` binary" if decoded else "")
+
 
-    return whole
+def _whole(value, back: bool):
+    """Ids of whole texts, and their bytes again if ``back``."""
+    encoding, _, tokens = _load(*value)
 
+    def work(texts: list[bytes | None]) -> list[list]:
+        ids = [encoding.encode_ordinary(t.decode()) if t else [] for t in texts]
+        packed = [_pack(x) for x in ids]
+        return [packed, [b"".join(map(tokens.__getitem__, x)) for x in ids]] if back else [packed]
 
-def _encode_long(docs: DataFrame, shared, whole, size: int, overlap: int) -> DataFrame:
+    return work
+
+
+def _encode_long(docs: DataFrame, shared, size: int, overlap: int) -> DataFrame:
     """The long texts: chunks over all tasks, joined up again by the row's content."""
     keyed = docs.withColumn("_key", F.sha2(F.col("text"), 256))
-    piece = "struct<k:int,low:bigint,text:string,begin:int,end:int,last:boolean>"
-
-    @F.pandas_udf(f"array<{piece}>")
-    def split(texts: pd.Series) -> pd.Series:
-        names = ("k", "low", "text", "begin", "end", "last")
-        return pd.Series([[dict(zip(names, x)) for x in _chunks(t, size, overlap)] for t in texts], dtype=object)
+    starts = F.sequence(F.lit(0), F.ceil(F.length("text") / size).cast("int") - 1)
+    begin = F.col("k") * size
+    low = F.greatest(begin - overlap, F.lit(0))
+    end = F.least(begin + size, F.col("n"))
+    pieces = keyed.select("_key", "text").dropDuplicates(["_key"]).select("_key", "text", F.length("text").alias("n"), F.explode(starts).alias("k"))
+    piece = F.substring("text", low + 1, F.least(end + overlap, F.col("n")) - low)
+    pieces = pieces.select("_key", "k", low.alias("low"), (begin - low).alias("begin"), (end - low).alias("end"), (end == F.col("n")).alias("last"), piece.alias("text")).repartition("_key", "k")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         loaded = _load(*shared.value)
         for batch in batches:
-            out = []
-            for key, k, low, text, begin, end, last in zip(*(batch.column(c).to_pylist() for c in ("_key", "k", "low", "text", "begin", "end", "last"))):
+            for at in range(batch.num_rows):
+                part = batch.slice(at, 1)
+                low, begin, end, last, text = (part.column(c)[0].as_py() for c in ("low", "begin", "end", "last", "text"))
                 first, stop, ids = encode_chunk(loaded, text, begin, end, last)
-                out.append((key, k, low + first if first >= 0 else -1, low + stop if stop >= 0 else -2, ids))
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.string(), pa.int32(), pa.int64(), pa.int64(), pa.binary()))] if out else [pa.array([], t) for t in (pa.string(), pa.int32(), pa.int64(), pa.int64(), pa.binary())], names=["_key", "k", "first", "stop", "ids"])
+                found = (low + first if first >= 0 else -1, low + stop if stop >= 0 else -2)
+                yield pa.RecordBatch.from_pydict({"_key": part.column("_key"), "k": part.column("k"), "first": pa.array(found[:1], pa.int64()), "stop": pa.array(found[1:], pa.int64()), "ids": pa.array([ids], pa.binary())})
 
-    pieces = keyed.select("_key", "text").dropDuplicates(["_key"]).select("_key", F.explode(split("text")).alias("c")).select("_key", "c.*").repartition("_key", "k")
     coded = pieces.mapInArrow(run, "_key string, k int, first bigint, stop bigint, ids binary")
     parts = coded.groupBy("_key").agg(
         F.array_sort(F.collect_list(F.struct("k", "first", "stop"))).alias("p"),
-        F.expr("listagg(ids, X'') WITHIN GROUP (ORDER BY k)").alias("ids"),
+        F.expr("listagg(ids, X'') WITHIN GROUP (ORDER BY k)").alias("_ids"),
     )
     met = F.forall(F.sequence(F.lit(0), F.size("p") - 1), lambda i: (F.get("p", i)["first"] >= 0) & ((i == 0) | (F.get("p", i)["first"] == F.get("p", i - 1)["stop"])))
-    joined = parts.where(met).select("_key", "ids")
-    stitched = keyed.join(joined, "_key", "left")
-    done = stitched.where(F.col("ids").isNotNull()).drop("_key")
-    alone = stitched.where(F.col("ids").isNull()).drop("_key", "ids").withColumn("ids", whole("text"))
-    return done.unionByName(alone)
+    # what didn't meet is encoded in one piece
+    stitched = keyed.join(parts.where(met).select("_key", "_ids"), "_key", "left").withColumn("_alone", F.when(F.col("_ids").isNull(), F.col("text"))).drop("_key")
+    return add_columns(stitched, "ids binary", "_alone", lambda: _whole(shared.value, False)).withColumn("ids", F.coalesce("_ids", "ids")).drop("_ids", "_alone")
 
 
 def decode(coded: DataFrame, vocabulary: Vocabulary, ids: str = "ids", into: str = "decoded") -> DataFrame:
     """``coded`` with the bytes of ``ids`` concatenated; null ids give no bytes."""
     shared = coded.sparkSession.sparkContext.broadcast((vocabulary.data, vocabulary.pattern))
 
-    @F.pandas_udf("binary")
-    def join(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def fill():
         tokens = _load(*shared.value)[2]
-        for part in parts:
-            yield pd.Series([b"".join(map(tokens.__getitem__, np.frombuffer(x or b"", "<u4").tolist())) for x in part], dtype=object)
+        return lambda values: [[b"".join(map(tokens.__getitem__, np.frombuffer(x or b"", "<u4").tolist())) for x in values]]
 
-    return coded.withColumn(into, join(ids))
+    return add_columns(coded, f"`{into}` binary", ids, fill)
 
 
 def public_vocabulary(spark: SparkSession | None = None, name: str = "byte_bpe_50k.tiktoken") -> Vocabulary:

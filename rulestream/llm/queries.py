@@ -72,11 +72,10 @@ FROM k LEFT JOIN f ON k.key = f.key GROUP BY k.doc_id
 
 @query
 def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from rulestream.llm.bpe import decode, encode, public_vocabulary
+    from rulestream.llm.bpe import encode, public_vocabulary
 
-    vocabulary = public_vocabulary()
-    coded = encode(table(spark, sf_dir, "documents").select("doc_id", "text"), vocabulary)
-    return decode(coded, vocabulary).select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+    coded = encode(table(spark, sf_dir, "documents").select("doc_id", "text"), public_vocabulary(), decoded="decoded")
+    return coded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
 @query
