@@ -174,3 +174,11 @@ reach AS (
 SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, min(reach.b) AS component_id, d.doc_id = min(reach.b) AS kept
 FROM documents d LEFT JOIN n USING (doc_id) JOIN reach ON reach.a = d.doc_id GROUP BY d.doc_id, n.n
 """
+
+
+@query
+def op5_template_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from rulestream.llm.decontaminate import find_contaminated
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return find_contaminated(docs, table(spark, sf_dir, "benchmark").select("item_id", "text"))
