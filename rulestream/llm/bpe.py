@@ -86,9 +86,7 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, chunk_chars: int = CHUNK_CHA
     docs = docs.drop("ids", "n_tokens", *[decoded] * bool(decoded))
     is_long = F.coalesce(F.length("text"), F.lit(0)) > chunk_chars
     short = add_columns(docs.where(~is_long), _fields(decoded), "text", lambda: _whole(shared.value, bool(decoded)))
-    long = _encode_long(docs.where(is_long), shared, chunk_chars, overlap_chars)
-    if decoded:
-        long = decode(long, vocabulary, into=decoded)
+    long = _encode_long(docs.where(is_long), shared, chunk_chars, overlap_chars, decoded)
     return short.unionByName(long).withColumn("n_tokens", F.expr("octet_length(ids) div 4"))
 
 
@@ -108,7 +106,7 @@ def _whole(value, back: bool):
     return work
 
 
-def _encode_long(docs: DataFrame, shared, size: int, overlap: int) -> DataFrame:
+def _encode_long(docs: DataFrame, shared, size: int, overlap: int, decoded: str | None) -> DataFrame:
     """The long texts: chunks over all tasks, joined up again by the row's content."""
     keyed = docs.withColumn("_key", F.sha2(F.col("text"), 256))
     starts = F.sequence(F.lit(0), F.ceil(F.length("text") / size).cast("int") - 1)
@@ -127,17 +125,20 @@ def _encode_long(docs: DataFrame, shared, size: int, overlap: int) -> DataFrame:
                 low, begin, end, last, text = (part.column(c)[0].as_py() for c in ("low", "begin", "end", "last", "text"))
                 first, stop, ids = encode_chunk(loaded, text, begin, end, last)
                 found = (low + first if first >= 0 else -1, low + stop if stop >= 0 else -2)
-                yield pa.RecordBatch.from_pydict({"_key": part.column("_key"), "k": part.column("k"), "first": pa.array(found[:1], pa.int64()), "stop": pa.array(found[1:], pa.int64()), "ids": pa.array([ids], pa.binary())})
+                back = b"".join(map(loaded[2].__getitem__, np.frombuffer(ids, "<u4").tolist())) if decoded else b""
+                yield pa.RecordBatch.from_pydict({"_key": part.column("_key"), "k": part.column("k"), "first": pa.array(found[:1], pa.int64()), "stop": pa.array(found[1:], pa.int64()), "ids": pa.array([ids], pa.binary()), "back": pa.array([back], pa.binary())})
 
-    coded = pieces.mapInArrow(run, "_key string, k int, first bigint, stop bigint, ids binary")
+    coded = pieces.mapInArrow(run, "_key string, k int, first bigint, stop bigint, ids binary, back binary")
     parts = coded.groupBy("_key").agg(
         F.array_sort(F.collect_list(F.struct("k", "first", "stop"))).alias("p"),
         F.expr("listagg(ids, X'') WITHIN GROUP (ORDER BY k)").alias("_ids"),
+        F.expr("listagg(back, X'') WITHIN GROUP (ORDER BY k)").alias("_back"),
     )
     met = F.forall(F.sequence(F.lit(0), F.size("p") - 1), lambda i: (F.get("p", i)["first"] >= 0) & ((i == 0) | (F.get("p", i)["first"] == F.get("p", i - 1)["stop"])))
     # what didn't meet is encoded in one piece
-    stitched = keyed.join(parts.where(met).select("_key", "_ids"), "_key", "left").withColumn("_alone", F.when(F.col("_ids").isNull(), F.col("text"))).drop("_key")
-    return add_columns(stitched, "ids binary", "_alone", lambda: _whole(shared.value, False)).withColumn("ids", F.coalesce("_ids", "ids")).drop("_ids", "_alone")
+    stitched = keyed.join(parts.where(met).select("_key", "_ids", "_back"), "_key", "left").withColumn("_alone", F.when(F.col("_ids").isNull(), F.col("text"))).drop("_key")
+    made = add_columns(stitched, _fields(decoded), "_alone", lambda: _whole(shared.value, bool(decoded))).withColumn("ids", F.coalesce("_ids", "ids"))
+    return (made.withColumn(decoded, F.coalesce("_back", decoded)) if decoded else made).drop("_ids", "_back", "_alone")
 
 
 def decode(coded: DataFrame, vocabulary: Vocabulary, ids: str = "ids", into: str = "decoded") -> DataFrame:

@@ -56,32 +56,40 @@ def byte_texts(column: pa.Array | pa.ChunkedArray) -> list[bytes]:
     return [x or b"" for x in column.cast(kind).to_pylist()]
 
 
-def add_columns(df: DataFrame, fields: str, source: str, fill: Callable[[], Callable[[list[bytes | None]], list[list]]], rows: int = 256) -> DataFrame:
-    """``df`` with columns made by Python from the text or bytes column ``source``, which come last.
+def add_columns(df: DataFrame, fields: str, sources: str | tuple[str, ...], fill: Callable[[], Callable[..., list[list]]], rows: int = 256) -> DataFrame:
+    """``df`` with columns made by Python from some of its columns; the new ones come last.
 
-    ``fill()`` is called once for each task and gives a function from some values (UTF-8 bytes or
-    None) to the new columns' values. It is called for ``rows`` rows at a time and its results leave
-    at once, so a worker holds no more than one Arrow batch of input and one slice of output.
+    ``fill()`` is called once for each task and gives a function from the values of the source
+    columns (texts as UTF-8 bytes) to those of the new columns. It is called for ``rows`` rows at a
+    time and its results leave at once, so a worker holds no more than one Arrow batch of input and
+    one slice of output. New columns replace those of the same name, which may be sources.
     """
-    names = [f.name for f in T._parse_datatype_string(fields)]
-    df = df.drop(*names)
-    schema = T.StructType([*df.schema.fields, *T._parse_datatype_string(fields)])
-    kinds = [to_arrow_type(f.dataType) for f in T._parse_datatype_string(fields)]
+    sources = (sources,) if isinstance(sources, str) else sources
+    made = T._parse_datatype_string(fields)
+    names = [f.name for f in made]
+    kept = [c for c in df.columns if c not in names]
+    df = df.select(*(F.col(f"`{c}`") for c in kept), *(F.col(c).alias(f"_from_{c}") for c in sources))
+    schema = T.StructType([*df.schema.fields[: len(kept)], *made])
+    kinds = [to_arrow_type(f.dataType) for f in made]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work = fill()
         for batch in batches:
             for at in range(0, batch.num_rows, rows):
                 part = batch.slice(at, rows)
-                values = part.column(source)
-                if not pa.types.is_binary(values.type) and not pa.types.is_large_binary(values.type):
-                    values = values.cast(pa.large_binary() if pa.types.is_large_string(values.type) else pa.binary())
-                made = [pa.array(v, k) for v, k in zip(work(values.to_pylist()), kinds)]
-                yield pa.RecordBatch.from_arrays([*part.columns, *made], names=[*part.schema.names, *names])
+                given = [_as_bytes(c).to_pylist() for c in part.columns[len(kept) :]]
+                new = [pa.array(v, k) for v, k in zip(work(*given), kinds)]
+                yield pa.RecordBatch.from_arrays([*part.columns[: len(kept)], *new], names=[*kept, *names])
 
     return df.mapInArrow(run, schema)
 
 
+def _as_bytes(column: pa.Array) -> pa.Array:
+    if pa.types.is_string(column.type):
+        return column.cast(pa.binary())
+    return column.cast(pa.large_binary()) if pa.types.is_large_string(column.type) else column
+
+
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, parts: int, part: int, per_class: int) -> DataFrame:
     """(doc_id, label, text) of at most about ``per_class`` labelled rows of each class, for training.
 

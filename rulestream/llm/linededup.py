@@ -17,12 +17,11 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rulestream.llm.common import WS_BYTES, byte_texts, cut, row_key, type_of
+from rulestream.llm.common import WS_BYTES, add_columns, byte_texts, cut, row_key, type_of
 
 
 def line_keys(text: bytes) -> list[bytes]:
@@ -76,19 +75,18 @@ def dedup_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1) -> Data
         .select(F.col("doc_id").alias("_lost_id"), F.col("_th").alias("_lost_th"), "_lost")
     )
 
-    @F.pandas_udf("text string, n_lines bigint, n_dropped bigint")
-    def rebuild(text: pd.Series, lost: pd.Series) -> pd.DataFrame:
-        rows = []
-        for t, gone in zip(text, lost):
-            lines = (t or "").split("\n")
-            if gone is not None and len(gone):
-                drop = set(gone)
-                rest = [x for i, x in enumerate(lines) if i not in drop]
-            else:
-                rest = lines
-            rows.append(("\n".join(rest), len(lines), len(lines) - len(rest)))
-        return pd.DataFrame(rows, columns=["text", "n_lines", "n_dropped"])
+    def rebuild(texts: list[bytes | None], lost: list[list[int] | None]) -> list[list]:
+        kept, n_lines, n_dropped = [], [], []
+        for text, gone in zip(texts, lost):
+            lines = (text or b"").split(b"\n")
+            drop = set(gone or ())
+            rest = [x for i, x in enumerate(lines) if i not in drop] if drop else lines
+            kept.append(b"\n".join(rest).decode())
+            n_lines.append(len(lines))
+            n_dropped.append(len(lines) - len(rest))
+        return [kept, n_lines, n_dropped]
 
     same = keyed["doc_id"].eqNullSafe(lost["_lost_id"]) & keyed["_th"].eqNullSafe(lost["_lost_th"])
-    joined = keyed.join(lost, same, "left").withColumn("_new", rebuild("text", "_lost"))
-    return joined.withColumns({c: F.col(f"_new.{c}") for c in ("text", "n_lines", "n_dropped")}).drop("_new", "_lost", "_lost_id", "_lost_th", "_th")
+    joined = keyed.join(lost, same, "left").drop("_lost_id", "_lost_th", "_th")
+    made = add_columns(joined, "text string, n_lines bigint, n_dropped bigint", ("text", "_lost"), lambda: rebuild)
+    return made.select(*[c for c in docs.columns if c not in ("n_lines", "n_dropped")], "n_lines", "n_dropped")

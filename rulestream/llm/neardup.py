@@ -31,7 +31,6 @@ from collections.abc import Iterator
 from math import comb
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -192,7 +191,8 @@ def _first_round(members: DataFrame, nodes: DataFrame, sets: DataFrame) -> DataF
             yield batch.take(pa.array(right, pa.int64())).select(["a", "b"])
 
     pairs = members.where("node <> first").select(F.col("first").alias("a"), F.col("node").alias("b")).distinct()
-    left = _both(pairs, nodes.select("node", "sig"), "sig").mapInArrow(prune, "a bigint, b bigint")
+    # cut here, so that a task never runs the workers of both steps
+    left = cut(_both(pairs, nodes.select("node", "sig"), "sig").mapInArrow(prune, "a bigint, b bigint"))
     return _both(left, sets, "found").mapInArrow(confirm, "a bigint, b bigint")
 
 
@@ -244,12 +244,12 @@ def _second_round(members: DataFrame, roots: DataFrame, nodes: DataFrame, sets:
     outer = rows.where("comp <> main").select("bucket", "node", "comp", F.lit(1).alias("role"), upto(F.col("nm")).alias("mb"), part(F.col("no")).alias("ob"))
     laid = inner.unionByName(outer).join(sets, "node")
 
-    def compare(block: pd.DataFrame) -> pd.DataFrame:
-        found = [np.frombuffer(x, np.uint64) for x in block["found"]]
-        links = compare_block(block["node"].to_numpy(), block["comp"].to_numpy(), block["role"].to_numpy(), found)
-        return pd.DataFrame(links, columns=["a", "b"], dtype="int64")
+    def compare(block: pa.Table) -> pa.Table:
+        node, comp, role = (block.column(c).to_numpy() for c in ("node", "comp", "role"))
+        links = compare_block(node, comp, role, [np.frombuffer(x.as_py(), np.uint64) for x in block.column("found")])
+        return pa.table({"a": pa.array([a for a, _ in links], pa.int64()), "b": pa.array([b for _, b in links], pa.int64())})
 
-    return laid.groupBy("bucket", "mb", "ob").applyInPandas(compare, "a bigint, b bigint")
+    return laid.groupBy("bucket", "mb", "ob").applyInArrow(compare, "a bigint, b bigint")
 
 
 def cluster(docs: DataFrame) -> DataFrame:
