@@ -129,7 +129,7 @@ def records(read: DataFrame) -> DataFrame:
 
 def describe(read: DataFrame, id_type: str) -> DataFrame:
     """What the headers say of each record, beside the digests of its stored payload."""
-    number = lambda name: F.regexp_extract(field(F.col("header"), name), "^<urn:record:(.*)>$", 1).cast(id_type)
+    number = lambda name: F.nullif(F.regexp_extract(field(F.col("header"), name), "^<urn:record:(.*)>$", 1), F.lit("")).cast(id_type)
     said = F.regexp_extract(field(F.col("header"), "WARC-Payload-Digest"), "^sha1:(.*)$", 1)
     return read.select(
         number("WARC-Record-ID").alias("id"),
