@@ -142,8 +142,10 @@ def describe(read: DataFrame, id_type: str) -> DataFrame:
 
 def export_warc(read: DataFrame, folder: str) -> None:
     """Gzipped WARC files of the archive's records, one file for each task."""
-    texts = records(read).select(F.decode("record", "UTF-8").alias("value"))
-    texts.write.option("lineSep", "").option("compression", "gzip").text(folder)
+    # a record's last byte is a newline, which the writer puts after each row
+    text = F.decode("record", "UTF-8")
+    texts = records(read).select(F.left(text, F.length(text) - 1).alias("value"))
+    texts.write.option("lineSep", "\n").option("compression", "gzip").text(folder)
 
 
 def round_trip(pages: DataFrame, id_col: str = "page_id") -> DataFrame:
