@@ -15,21 +15,31 @@ def _clean(edges: DataFrame) -> DataFrame:
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) of every node in ``edges`` (a, b): equal roots for nodes that are connected.
 
-    In a round every node hooks onto its smallest neighbour, follows one more hook, and the edges
-    are contracted to what they lead to, with an edge from each hook to where it leads in turn. Every
-    round at least halves the nodes that still have edges; a star takes one. What a round leaves is
-    cut into the shared checkpoint folder. A node with very many neighbours is pre-aggregated in the
-    hooking and split by the adaptive join in the contraction.
+    In a round every node hooks onto its smallest neighbour, hooks are followed to their ends (each
+    step doubles the distance), and the edges are contracted to these ends. Only nodes without a
+    smaller neighbour remain, at most half of those that still had edges, so rounds grow with the
+    logarithm of the largest component; a star takes one. What a step leaves is cut into the shared
+    checkpoint folder. A node with very many neighbours is pre-aggregated in the hooking and split
+    by the adaptive join in the contraction.
     """
     left = cut(_clean(edges))
     found: DataFrame | None = None
     while True:
         hooks = left.select(F.col("a").alias("v"), F.col("a").alias("p")).union(left.select(F.col("b").alias("v"), F.col("a").alias("p")))
-        hooks = cut(hooks.groupBy("v").agg(F.min("p").alias("p")))
-        up = hooks.select(F.col("v").alias("_v"), F.col("p").alias("_p"))
-        found = hooks.select(F.col("v").alias("node"), F.col("p").alias("root")) if found is None else found.join(up, found["root"] == up["_v"], "left").select("node", F.coalesce("_p", "root").alias("root"))
-        ends = left.join(up.select(F.col("_v").alias("a"), F.col("_p").alias("pa")), "a").join(up.select(F.col("_v").alias("b"), F.col("_p").alias("pb")), "b")
-        onward = hooks.join(up, hooks["p"] == up["_v"]).select(F.col("p").alias("a"), F.col("_p").alias("b"))
-        left = cut(_clean(ends.select(F.col("pa").alias("a"), F.col("pb").alias("b")).union(onward)))
+        ends = _followed(cut(hooks.groupBy("v").agg(F.min("p").alias("p"))))
+        up = ends.select(F.col("v").alias("_v"), F.col("p").alias("_p"))
+        found = ends.select(F.col("v").alias("node"), F.col("p").alias("root")) if found is None else cut(found.join(up, found["root"] == up["_v"], "left").select("node", F.coalesce("_p", "root").alias("root")))
+        moved = left.join(ends.select(F.col("v").alias("a"), F.col("p").alias("pa")), "a").join(ends.select(F.col("v").alias("b"), F.col("p").alias("pb")), "b")
+        left = cut(_clean(moved.select(F.col("pa").alias("a"), F.col("pb").alias("b"))))
         if left.isEmpty():
-            return cut(found)
+            return found
+
+
+def _followed(hooks: DataFrame) -> DataFrame:
+    """(v, p) with every hook replaced by where its chain of hooks ends."""
+    while True:
+        onward = hooks.select(F.col("v").alias("_v"), F.col("p").alias("q"))
+        further = cut(hooks.join(onward, hooks["p"] == onward["_v"]).select("v", "p", "q"))
+        hooks = further.select("v", F.col("q").alias("p"))
+        if further.where("p <> q").isEmpty():
+            return hooks
