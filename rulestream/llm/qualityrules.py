@@ -5,7 +5,7 @@ text; ``base_failed`` where there are too few words or too large a part of them
 windows. Across documents: lines are normalised (white space stripped and folded, lower-cased) and
 hashed, the distinct documents that hold a line are counted per host, lines held by at least
 ``max_docs`` of a host are removed from that host's documents, and a document left with less than
-``min_left`` of its words, or fewer than ``min_words``, is depleted and rejected.
+``min_left`` of its words is depleted and rejected.
 
 DataFrame functions only. Nothing but hashes, ids and word counts is shuffled, the counts are
 pre-aggregated per task, and the join that removes lines may be split where one line is hot.
@@ -101,7 +101,7 @@ def apply_rules(docs: DataFrame, host: str = "source", limits: Limits = Limits()
     joined = joined.join(copies, joined["doc_id"].eqNullSafe(copies["_d"]) & joined["_th"].eqNullSafe(copies["_t"]) & joined[host].eqNullSafe(copies["_h"]), "left").drop("_d", "_t", "_h", "_th")
     gone = (F.coalesce(F.col("removed_words"), F.lit(0)) / F.coalesce(F.col("_n"), F.lit(1))).cast("bigint")
     left = F.col("n_words") - F.col("removed_words")
-    depleted = (left < limits.min_words) | (left < limits.min_left * F.col("n_words"))
+    depleted = left < limits.min_left * F.col("n_words")
     return (
         joined.withColumn("removed_words", gone)
         .drop("_n")

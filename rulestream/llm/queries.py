@@ -115,7 +115,7 @@ WITH d AS (
          coalesce(removed_words, 0) AS removed_words
   FROM d LEFT JOIN cov USING (doc_id) LEFT JOIN gone USING (doc_id) LEFT JOIN dup USING (doc_id)
 ), b AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM s)
-SELECT *, NOT base_failed AND n_words - removed_words >= 20 AND n_words - removed_words >= 0.5 * n_words AS kept FROM b
+SELECT *, NOT base_failed AND n_words - removed_words >= 0.5 * n_words AS kept FROM b
 """
 
 

@@ -57,7 +57,7 @@ def brute_rules(rows, limits):
         gone = sum(len(words(x)) for x in lines if len(holders[s, norm(x)]) >= limits.max_docs)
         failed = len(w) < 20 or 100 * len(covered) > 30 * len(w)
         left = len(w) - gone
-        out.append((i, len(w), sum(map(len, w)), sum(c in "#*$%&|<>" for c in t or ""), len(lines) - len(set(lines)), len(covered), failed, not failed and left >= 20 and left >= 0.5 * len(w), gone))
+        out.append((i, len(w), sum(map(len, w)), sum(c in "#*$%&|<>" for c in t or ""), len(lines) - len(set(lines)), len(covered), failed, not failed and left >= 0.5 * len(w), gone))
     return sorted(out, key=str)
 
 
