@@ -46,7 +46,7 @@ UNITS = frozenset(
     "% percent dollar dollars euro euros cent cents usd eur mph kmh km/h °c °f degree degrees w kw kwh v volt volts watt watts j joule joules n newton newtons "
     "hz khz mhz ghz b kb mb gb tb byte bytes meter meters metre metres kilometer kilometers kilometre kilometres centimeter centimeters".split()
 )
-MARKS = "\"'`.,;:!?()[]{}<>|*#&$€£«»„“”‘’…-–—_=+~^/\\"
+MARKS = "\"'`.,;:!?()[]{}<>|*#%&$€£«»„“”‘’…-–—_=+~^/\\"
 
 _TOKEN = re.compile(r"\n|[^\x20\x09-\x0D]+")
 _NUMBER = re.compile(r"[-+$€£]?\d[\d.,:/]*")
