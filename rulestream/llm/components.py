@@ -8,6 +8,10 @@ from pyspark.sql import functions as F
 from rulestream.llm.common import cut
 
 
+#: A round's tables are dealt over so many tasks that each has about this many of the first edges.
+ROWS_PER_TASK = 200_000
+
+
 def _clean(edges: DataFrame) -> DataFrame:
     return edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b").distinct()
 
@@ -23,23 +27,32 @@ def components(edges: DataFrame) -> DataFrame:
     by the adaptive join in the contraction.
     """
     left = cut(_clean(edges))
+    tasks = max(1, -(-left.count() // ROWS_PER_TASK))
     found: DataFrame | None = None
     while True:
         hooks = left.select(F.col("a").alias("v"), F.col("a").alias("p")).union(left.select(F.col("b").alias("v"), F.col("a").alias("p")))
-        ends = _followed(cut(hooks.groupBy("v").agg(F.min("p").alias("p"))))
+        ends = _followed(hooks.groupBy("v").agg(F.min("p").alias("p")), tasks)
         up = ends.select(F.col("v").alias("_v"), F.col("p").alias("_p"))
-        found = ends.select(F.col("v").alias("node"), F.col("p").alias("root")) if found is None else cut(found.join(up, found["root"] == up["_v"], "left").select("node", F.coalesce("_p", "root").alias("root")))
+        if found is None:
+            found = ends.select(F.col("v").alias("node"), F.col("p").alias("root"))
+        else:
+            found = cut(_small(found.join(up, found["root"] == up["_v"], "left").select("node", F.coalesce("_p", "root").alias("root")), tasks))
         moved = left.join(ends.select(F.col("v").alias("a"), F.col("p").alias("pa")), "a").join(ends.select(F.col("v").alias("b"), F.col("p").alias("pb")), "b")
-        left = cut(_clean(moved.select(F.col("pa").alias("a"), F.col("pb").alias("b"))))
+        left = cut(_small(_clean(moved.select(F.col("pa").alias("a"), F.col("pb").alias("b"))), tasks))
         if left.isEmpty():
             return found
 
 
-def _followed(hooks: DataFrame) -> DataFrame:
+def _small(df: DataFrame, tasks: int) -> DataFrame:
+    """``df`` in no more tasks than its rows are worth: a round over few edges shouldn't cost hundreds of tasks."""
+    return df.coalesce(tasks)
+
+
+def _followed(hooks: DataFrame, tasks: int) -> DataFrame:
     """(v, p) with every hook replaced by where its chain of hooks ends."""
     while True:
         onward = hooks.select(F.col("v").alias("_v"), F.col("p").alias("q"))
-        further = cut(hooks.join(onward, hooks["p"] == onward["_v"]).select("v", "p", "q"))
+        further = cut(_small(hooks.join(onward, hooks["p"] == onward["_v"]).select("v", "p", "q"), tasks))
         hooks = further.select("v", F.col("q").alias("p"))
         if further.where("p <> q").isEmpty():
             return hooks

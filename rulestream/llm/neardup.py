@@ -146,8 +146,11 @@ def _bands(nodes: DataFrame) -> DataFrame:
     return nodes.select("node", "sig").mapInArrow(run, "bucket bigint, node bigint")
 
 
-def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(node, found): the full sets of the wanted nodes, from the text of each one's first document."""
+def _sets(docs: DataFrame, wanted: DataFrame, repeated: bool) -> DataFrame:
+    """(node, found): the full sets of the wanted nodes, from the text of each one's first document.
+
+    If rows are ``repeated``, a document may be there more than once, and one of its sets is kept.
+    """
     n = wanted.count()
     wanted = wanted.select(F.col("doc").alias("_doc"), "node", "digest")
     if n <= BROADCAST_NODES:
@@ -165,7 +168,8 @@ def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_pydict({"node": pa.array(node, pa.int64()), "found": pa.array(sets, pa.binary())})
 
     joined = docs.select("doc_id", "text").join(wanted, F.col("doc_id").eqNullSafe(F.col("_doc")), "inner")
-    return joined.select("node", "digest", "text").mapInArrow(run, "node bigint, found binary").dropDuplicates(["node"])
+    found = joined.select("node", "digest", "text").mapInArrow(run, "node bigint, found binary")
+    return found.dropDuplicates(["node"]) if repeated else found
 
 
 def _both(pairs: DataFrame, values: DataFrame, column: str) -> DataFrame:
@@ -261,7 +265,8 @@ def cluster(docs: DataFrame) -> DataFrame:
     shared = bands.groupBy("bucket").agg(F.min("node").alias("first"), F.count(F.lit(1)).alias("c")).where("c > 1").select("bucket", "first")
     members = cut(bands.join(shared, "bucket"))
     wanted = nodes.select("node", "doc", "digest").join(members.select("node").distinct(), "node", "left_semi")
-    sets = cut(_sets(docs, wanted))
+    repeated = not told.where("n > 0").groupBy("doc_id", "digest").count().where("count > 1").isEmpty()
+    sets = cut(_sets(docs, wanted, repeated))
     sure = cut(_first_round(members, nodes, sets))
     roots = components(sure)
     more = _second_round(members, roots, nodes, sets)
