@@ -6,6 +6,10 @@ benchmark's items. A match must also be consistent: within one aligned copy of a
 values in the item stand for equal values in the document. A document is contaminated by an item if
 consistent copies cover ``min_matched`` of its windows or ``min_share`` of them.
 
+Beside its template each window has a literal form, its words in lower case without marks, and a
+copy needs only one of the two to match: what is a name depends on the marks and capitals around a
+word, which a copy may have changed. Without placeholders both forms are the same.
+
 A token is a number if it is made of digits and their marks; a unit if it is in the list of units
 and follows a number; a name if it is capitalised where no sentence or line begins. Windows of fewer
 than ``min_literals`` literal tokens say too little and aren't used. An item shorter than a window
@@ -23,7 +27,7 @@ aren't needed elsewhere.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -55,7 +59,7 @@ _GLUED = re.compile(r"(?<=\d)(?=[A-Za-z%°]+(?![A-Za-z0-9]))")
 _CAPITAL, _END, _NUM, _UNIT = 1, 2, 4, 8
 _M = np.uint64(0x9E3779B97F4A7C15)
 _KEEP = np.uint64(0xFFFFFFFFFFFFFFF0)
-_SLOTS = {k: np.uint64(xxhash.xxh3_64_intdigest(f"<{k}>".encode()) & 0xFFFFFFFFFFFFFFF0) for k in ("num", "name", "unit")}
+_SLOTS = np.array([0, *(xxhash.xxh3_64_intdigest(f"<{k}>".encode()) & 0xFFFFFFFFFFFFFFF0 for k in ("num", "name", "unit"))], np.uint64)
 
 
 def _describe(token: str) -> int:
@@ -73,7 +77,7 @@ def _describe(token: str) -> int:
         flags |= _UNIT
     if word[0].isupper() and (len(word) == 1 or word[1:].islower()):
         flags |= _CAPITAL
-    return (xxhash.xxh3_64_intdigest(word.lower().encode()) & 0xFFFFFFFFFFFFFFF0 or 16) | flags
+    return (xxhash.xxh3_64_intdigest(word.casefold().encode()) & 0xFFFFFFFFFFFFFFF0 or 16) | flags
 
 
 class Templates:
@@ -84,7 +88,7 @@ class Templates:
         self.most = most
 
     def tokens(self, text: str) -> tuple[list[str], np.ndarray, np.ndarray]:
-        """The kept tokens, their template hashes, and their kinds: 0 literal, 1 number, 2 name, 3 unit."""
+        """The kept tokens, their literal hashes, and their kinds: 0 literal, 1 number, 2 name, 3 unit."""
         found = _TOKEN.findall(_GLUED.sub(" ", text))
         seen = self.seen
         if len(seen) > self.most:
@@ -101,34 +105,42 @@ class Templates:
         kind[(flags & _NUM) > 0] = 1
         after = np.concatenate(([False], kind[:-1] == 1)) if len(kept) else np.zeros(0, bool)
         kind[((flags & _UNIT) > 0) & after] = 3
-        for k, name in ((1, "num"), (2, "name"), (3, "unit")):
-            value[kind == k] = _SLOTS[name]
         return [found[i] for i in kept.tolist()] if len(kept) < len(found) else found, value, kind
 
     @staticmethod
-    def windows(value: np.ndarray, kind: np.ndarray, size: int, min_literals: int) -> tuple[np.ndarray, np.ndarray]:
-        """Places and hashes of the usable windows of a size."""
+    def windows(value: np.ndarray, kind: np.ndarray, size: int, min_literals: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The literal hashes of all windows of a size; places and template hashes of the usable ones with placeholders."""
         n = len(value) - size + 1
         if n < 1 or size < 1:
-            return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-        code = np.full(n, size, np.uint64)
-        for i in range(size):
-            code = code * _M + value[i : i + n]
-        code ^= code >> np.uint64(29)
-        code *= np.uint64(0xBF58476D1CE4E5B9)
-        code ^= code >> np.uint64(32)
-        literal = np.concatenate(([0], np.cumsum(kind == 0)))
-        at = np.flatnonzero(literal[size:] - literal[:-size] >= min(min_literals, size))
-        return at, code[at]
+            return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
+        literal = _hash((value[i : i + n] for i in range(size)), n, size)
+        if not kind.any():
+            return literal, np.zeros(0, np.int64), np.zeros(0, np.uint64)
+        filled = np.concatenate(([0], np.cumsum(kind > 0)))
+        filled = filled[size:] - filled[:-size]
+        at = np.flatnonzero((filled > 0) & (size - filled >= min(min_literals, size)))
+        value = np.where(kind > 0, _SLOTS[kind], value)
+        return literal, at, _hash((value[at + i] for i in range(size)), len(at), size)
+
+
+def _hash(columns: Iterable[np.ndarray], n: int, size: int) -> np.ndarray:
+    """Hashes of ``n`` windows, given their first tokens, their second ones and so on."""
+    code = np.full(n, size, np.uint64)
+    for column in columns:
+        code = code * _M + column
+    code ^= code >> np.uint64(29)
+    code *= np.uint64(0xBF58476D1CE4E5B9)
+    code ^= code >> np.uint64(32)
+    return code
 
 
 def slots(tokens: list[str], kind: np.ndarray, at: int, size: int) -> list[str]:
     """The values of a window's placeholders, in order, with their types."""
-    return [f"{'xnNu'[kind[i]]}:{tokens[i].strip(MARKS).lower()}" for i in range(at, at + size) if kind[i]]
+    return [f"{'xnNu'[kind[i]]}:{tokens[i].strip(MARKS).casefold()}" for i in range(at, at + size) if kind[i]]
 
 
 def item_windows(benchmark: DataFrame, window: int = WINDOW, min_literals: int = MIN_LITERALS) -> DataFrame:
-    """(item_id, key, ipos, islots, size, n_windows): the distinct template windows of the items."""
+    """(item_id, key, literal, ipos, islots, size, n_windows): the distinct windows of the items, template and literal ones."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         templates = Templates()
@@ -137,21 +149,36 @@ def item_windows(benchmark: DataFrame, window: int = WINDOW, min_literals: int =
             for i, text in zip(batch.column("item_id").to_pylist(), batch.column("text").to_pylist()):
                 tokens, value, kind = templates.tokens(text or "")
                 size = min(window, len(tokens))
-                at, keys = templates.windows(value, kind, size, min_literals)
-                out += [(i, k, p, slots(tokens, kind, p, size), size, len(at)) for p, k in zip(at.tolist(), keys.view(np.int64).tolist())]
-            kinds = (batch.schema.field("item_id").type, pa.int64(), pa.int32(), pa.list_(pa.string()), pa.int32(), pa.int32())
-            yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in out], t) for c, t in enumerate(kinds)], names=["item_id", "key", "ipos", "islots", "size", "n_windows"])
-
-    schema = f"item_id {type_of(benchmark, 'item_id')}, key bigint, ipos int, islots array<string>, size int, n_windows int"
+                literal, at, keys = templates.windows(value, kind, size, min_literals)
+                usable = sorted({*at.tolist(), *(p for p in range(len(literal)) if not kind[p : p + size].any())})
+                forms = [(p, int(k), True) for p, k in zip(usable, literal[usable].view(np.int64))]
+                forms += [(p, int(k), False) for p, k in zip(at.tolist(), keys.view(np.int64))]
+                out += [(i, k, same, p, slots(tokens, kind, p, size), size, len(usable)) for p, k, same in forms]
+            kinds = (batch.schema.field("item_id").type, pa.int64(), pa.bool_(), pa.int32(), pa.list_(pa.string()), pa.int32(), pa.int32())
+            yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in out], t) for c, t in enumerate(kinds)], names=["item_id", "key", "literal", "ipos", "islots", "size", "n_windows"])
+
+    schema = f"item_id {type_of(benchmark, 'item_id')}, key bigint, literal boolean, ipos int, islots array<string>, size int, n_windows int"
     return benchmark.select("item_id", "text").distinct().mapInArrow(run, schema)
 
 
 def document_windows(docs: DataFrame, sizes: list[int], only: np.ndarray | None, min_literals: int = MIN_LITERALS) -> DataFrame:
-    """(doc_id, _th, key, pos, dslots) of the documents' windows, or of those whose hash is in the sorted ``only``."""
+    """(doc_id, _th, key, pos, dslots) of the documents' windows, or of those whose hash is in the sorted ``only``; dslots of template windows."""
     shared = docs.sparkSession.sparkContext.broadcast(only)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         templates, wanted = Templates(), shared.value
+        if wanted is not None:
+            # most windows are ruled out by the low bits of their hash
+            low = np.uint64((1 << min(24, max(16, (16 * len(wanted)).bit_length()))) - 1)
+            maybe = np.zeros(int(low) + 1, bool)
+            maybe[wanted & low] = True
+
+        def hits(keys: np.ndarray) -> np.ndarray:
+            if wanted is None:
+                return np.arange(len(keys))
+            found = np.flatnonzero(maybe[keys & low])
+            return found[wanted[np.minimum(np.searchsorted(wanted, keys[found]), len(wanted) - 1)] == keys[found]]
+
         for batch in batches:
             ids, hashes = batch.column("doc_id"), batch.column("_th")
             for start in range(0, batch.num_rows, 64):
@@ -161,12 +188,11 @@ def document_windows(docs: DataFrame, sizes: list[int], only: np.ndarray | None,
                         continue
                     tokens, value, kind = templates.tokens(text)
                     for size in sizes:
-                        at, keys = templates.windows(value, kind, size, min_literals)
-                        if wanted is not None:
-                            place = np.minimum(np.searchsorted(wanted, keys), len(wanted) - 1)
-                            hit = wanted[place] == keys
-                            at, keys = at[hit], keys[hit]
-                        out += [(i, k, p, slots(tokens, kind, p, size)) for p, k in zip(at.tolist(), keys.view(np.int64).tolist())]
+                        literal, at, keys = templates.windows(value, kind, size, min_literals)
+                        hit = hits(literal)
+                        out += [(i, k, p, []) for p, k in zip(hit.tolist(), literal[hit].view(np.int64).tolist())]
+                        hit = hits(keys)
+                        out += [(i, k, p, slots(tokens, kind, p, size)) for p, k in zip(at[hit].tolist(), keys[hit].view(np.int64).tolist())]
                 taken = pa.array([r[0] for r in out], pa.int64())
                 yield pa.RecordBatch.from_pydict({"doc_id": ids.take(taken), "_th": hashes.take(taken), "key": pa.array([r[1] for r in out], pa.int64()), "pos": pa.array([r[2] for r in out], pa.int32()), "dslots": pa.array([r[3] for r in out], pa.list_(pa.string()))})
 
@@ -184,6 +210,7 @@ def _matches(docs: DataFrame, benchmark: DataFrame, window: int, min_literals: i
         items = F.broadcast(items)
     sizes = sorted(facts["sizes"]) if not small or len(only) else []
     found = document_windows(docs, sizes, only, min_literals).join(items, "key")
+    found = found.withColumn("dslots", F.when(F.col("literal"), F.col("islots")).otherwise(F.col("dslots")))
     pairs = F.transform(F.arrays_zip("islots", "dslots"), lambda x: F.struct(x["islots"].alias("i"), x["dslots"].alias("d")))
     aligned = found.withColumn("pairs", pairs).groupBy("doc_id", "_th", "item_id", (F.col("pos") - F.col("ipos")).alias("shift"))
     aligned = aligned.agg(F.collect_set("ipos").alias("at"), F.array_distinct(F.flatten(F.collect_set("pairs"))).alias("pairs"), F.max("n_windows").alias("n_windows"))

@@ -181,6 +181,16 @@ def test_other_values_are_caught_if_consistent(spark, limit):
     assert sorted(str(r["doc_id"]) for r in decontaminate.clean(frame, items, broadcast_windows=limit).collect()) == ["2", "4", "5", "None"]
 
 
+@pytest.mark.parametrize("limit", [decontaminate.BROADCAST_WINDOWS, 0])
+def test_copies_with_other_marks_and_capitals(spark, limit):
+    item = "The old mill stands by the river. Every spring Eve paints the doors of the mill. Nobody knows when Finn built it or why he left the valley so soon."
+    forms = {1: item, 2: item.replace(".", ""), 3: item.replace(".", ","), 4: item.title(), 5: item.upper(), 6: "Every spring the old mill stands by the river. Nobody knows the doors of the valley."}
+    docs = spark.createDataFrame([(k, f"so it was\n{t}\nand so on") for k, t in forms.items()], "doc_id long, text string")
+    found = decontaminate.find_contaminated(docs, spark.createDataFrame([(1, item)], "item_id long, text string"), broadcast_windows=limit).collect()
+    assert {r["doc_id"] for r in found} == {1, 2, 3, 4, 5}
+    assert all(0 < r["n_matched"] <= r["n_windows"] and r["same_values"] for r in found)
+
+
 def test_tokens_and_kinds():
     tokens, _, kind = decontaminate.Templates().tokens("The car went 5km. Then Bob, aged 7, ran 10 % of 3.5 miles\nSo did he | and Ann")
     assert [(t.strip(decontaminate.MARKS), int(k)) for t, k in zip(tokens, kind) if k] == [("5", 1), ("km", 3), ("Bob", 2), ("7", 1), ("10", 1), ("", 3), ("3.5", 1), ("miles", 3), ("Ann", 2)]
