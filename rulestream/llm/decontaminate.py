@@ -11,15 +11,17 @@ copy needs only one of the two to match: what is a name depends on the marks and
 word, which a copy may have changed. Without placeholders both forms are the same.
 
 A token is a number if it is made of digits and their marks; a unit if it is in the list of units
-and follows a number; a name if it is capitalised where no sentence or line begins. Windows of fewer
-than ``min_literals`` literal tokens say too little and aren't used. An item shorter than a window
-is one window of its own length.
+and follows a number; a name if it is capitalised where no sentence or line begins. The templates of
+windows of fewer than ``min_literals`` literal tokens say too little and aren't used; such windows
+match by their literal form only, that is with the item's own values. The share is reached by all
+windows of the item or by those with a usable template. An item shorter than a window is one window
+of its own length.
 
 The benchmark's windows are broadcast after a check of their number; beyond ``broadcast_windows``
 all windows of the documents are joined by shuffle instead.
 
-Defined results: a null or empty text has no windows and is clean. Items without text or usable
-windows contaminate nothing. Repeated rows and repeated items give one row. Rows with a null id are
+Defined results: a null or empty text has no windows and is clean. Items without text or
+words contaminate nothing. Repeated rows and repeated items give one row. Rows with a null id are
 reported with a null id. Empty tables give no rows. Other input columns pass through ``clean`` and
 aren't needed elsewhere.
 """
@@ -140,7 +142,7 @@ def slots(tokens: list[str], kind: np.ndarray, at: int, size: int) -> list[str]:
 
 
 def item_windows(benchmark: DataFrame, window: int = WINDOW, min_literals: int = MIN_LITERALS) -> DataFrame:
-    """(item_id, key, literal, ipos, islots, size, n_windows): the distinct windows of the items, template and literal ones."""
+    """(item_id, key, literal, usable, ipos, islots, size, n_windows, n_usable): the distinct windows of the items, template and literal ones; usable: of those with enough literals."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         templates = Templates()
@@ -150,14 +152,14 @@ def item_windows(benchmark: DataFrame, window: int = WINDOW, min_literals: int =
                 tokens, value, kind = templates.tokens(text or "")
                 size = min(window, len(tokens))
                 literal, at, keys = templates.windows(value, kind, size, min_literals)
-                usable = sorted({*at.tolist(), *(p for p in range(len(literal)) if not kind[p : p + size].any())})
-                forms = [(p, int(k), True) for p, k in zip(usable, literal[usable].view(np.int64))]
+                usable = {*at.tolist(), *(p for p in range(len(literal)) if not kind[p : p + size].any())}
+                forms = [(p, int(k), True) for p, k in enumerate(literal.view(np.int64))]
                 forms += [(p, int(k), False) for p, k in zip(at.tolist(), keys.view(np.int64))]
-                out += [(i, k, same, p, slots(tokens, kind, p, size), size, len(usable)) for p, k, same in forms]
-            kinds = (batch.schema.field("item_id").type, pa.int64(), pa.bool_(), pa.int32(), pa.list_(pa.string()), pa.int32(), pa.int32())
-            yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in out], t) for c, t in enumerate(kinds)], names=["item_id", "key", "literal", "ipos", "islots", "size", "n_windows"])
+                out += [(i, k, same, p in usable, p, slots(tokens, kind, p, size), size, len(literal), len(usable)) for p, k, same in forms]
+            kinds = (batch.schema.field("item_id").type, pa.int64(), pa.bool_(), pa.bool_(), pa.int32(), pa.list_(pa.string()), pa.int32(), pa.int32(), pa.int32())
+            yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in out], t) for c, t in enumerate(kinds)], names=["item_id", "key", "literal", "usable", "ipos", "islots", "size", "n_windows", "n_usable"])
 
-    schema = f"item_id {type_of(benchmark, 'item_id')}, key bigint, literal boolean, ipos int, islots array<string>, size int, n_windows int"
+    schema = f"item_id {type_of(benchmark, 'item_id')}, key bigint, literal boolean, usable boolean, ipos int, islots array<string>, size int, n_windows int, n_usable int"
     return benchmark.select("item_id", "text").distinct().mapInArrow(run, schema)
 
 
@@ -213,16 +215,19 @@ def _matches(docs: DataFrame, benchmark: DataFrame, window: int, min_literals: i
     found = found.withColumn("dslots", F.when(F.col("literal"), F.col("islots")).otherwise(F.col("dslots")))
     pairs = F.transform(F.arrays_zip("islots", "dslots"), lambda x: F.struct(x["islots"].alias("i"), x["dslots"].alias("d")))
     aligned = found.withColumn("pairs", pairs).groupBy("doc_id", "_th", "item_id", (F.col("pos") - F.col("ipos")).alias("shift"))
-    aligned = aligned.agg(F.collect_set("ipos").alias("at"), F.array_distinct(F.flatten(F.collect_set("pairs"))).alias("pairs"), F.max("n_windows").alias("n_windows"))
+    aligned = aligned.agg(F.collect_set("ipos").alias("at"), F.collect_set(F.when(F.col("usable"), F.col("ipos"))).alias("usable"), F.array_distinct(F.flatten(F.collect_set("pairs"))).alias("pairs"), F.max("n_windows").alias("n_windows"), F.max("n_usable").alias("n_usable"))
     # consistent: no value of the item stands for two values of the document
     aligned = aligned.where(F.size(F.array_distinct(F.transform("pairs", lambda x: x["i"]))) == F.size("pairs"))
     whole = aligned.groupBy("doc_id", "_th", "item_id").agg(
         F.size(F.array_distinct(F.flatten(F.collect_list("at")))).cast("bigint").alias("n_matched"),
+        F.size(F.array_distinct(F.flatten(F.collect_list("usable")))).alias("_matched"),
         F.max("n_windows").cast("bigint").alias("n_windows"),
+        F.max("n_usable").alias("_usable"),
         F.max(F.size("pairs")).cast("bigint").alias("n_slots"),
         F.min(F.forall("pairs", lambda x: x["i"] == x["d"])).alias("same_values"),
     )
-    return whole.where((F.col("n_matched") >= min_matched) | (F.col("n_matched") >= min_share * F.col("n_windows")))
+    enough = (F.col("n_matched") >= min_matched) | (F.col("n_matched") >= min_share * F.col("n_windows"))
+    return whole.where(enough | ((F.col("_matched") > 0) & (F.col("_matched") >= min_share * F.col("_usable")))).drop("_matched", "_usable")
 
 
 def find_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, min_literals: int = MIN_LITERALS, min_matched: int = MIN_MATCHED, min_share: float = MIN_SHARE, broadcast_windows: int = BROADCAST_WINDOWS) -> DataFrame:

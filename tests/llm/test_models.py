@@ -191,6 +191,15 @@ def test_copies_with_other_marks_and_capitals(spark, limit):
     assert all(0 < r["n_matched"] <= r["n_windows"] and r["same_values"] for r in found)
 
 
+@pytest.mark.parametrize("limit", [decontaminate.BROADCAST_WINDOWS, 0])
+def test_items_of_few_literals_match_with_their_own_values(spark, limit):
+    items = [(1, "What is 3 + 4 ?"), (2, "3 7 12 25 31 48 50 66 72 81 90 105"), (3, "Winners: Ann Bob Carla Dirk Eve Finn Gus Hal Ida Jim"), (4, "... ?!")]
+    others = ["What is 5 + 9 ?", "1 2 3 4 5 6 7 8 9 10 11 12", "Winners: Jim Ida Hal Gus Finn Eve Dirk Carla Bob Ann"]
+    docs = [(k, f"so it was\n{t}\nand so on") for k, t in items] + [(10 + k, f"so it was\n{t}\nand so on") for k, t in enumerate(others)]
+    found = decontaminate.find_contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"), broadcast_windows=limit)
+    assert {(r["doc_id"], r["item_id"]) for r in found.collect()} == {(1, 1), (2, 2), (3, 3)}
+
+
 def test_tokens_and_kinds():
     tokens, _, kind = decontaminate.Templates().tokens("The car went 5km. Then Bob, aged 7, ran 10 % of 3.5 miles\nSo did he | and Ann")
     assert [(t.strip(decontaminate.MARKS), int(k)) for t, k in zip(tokens, kind) if k] == [("5", 1), ("km", 3), ("Bob", 2), ("7", 1), ("10", 1), ("", 3), ("3.5", 1), ("miles", 3), ("Ann", 2)]
