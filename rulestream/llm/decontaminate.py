@@ -2,9 +2,12 @@
 
 Numbers, names and units become typed placeholders, so that a question asked with other values has
 the same template. Windows of template tokens are hashed and hash-joined with those of the
-benchmark's items. A match must also be consistent: within one aligned copy of an item, equal
-values in the item stand for equal values in the document. A document is contaminated by an item if
-consistent copies cover ``min_matched`` of its windows or ``min_share`` of them.
+benchmark's items. Template matches must also be consistent: within one aligned copy of an item,
+equal values in the item stand for equal values in the document. One name that stands for two ends
+the evidence of the copy's templates; one number or unit that stands for two may be two quantities
+of the same size, so the value that more windows hold counts, and windows with another one don't.
+Windows with the item's own values always count. A document is contaminated by an item if what
+counts in its copies covers ``min_matched`` of the item's windows or ``min_share`` of them.
 
 Beside its template each window has a literal form, its words in lower case without marks, and a
 copy needs only one of the two to match: what is a name depends on the marks and capitals around a
@@ -202,6 +205,24 @@ def document_windows(docs: DataFrame, sizes: list[int], only: np.ndarray | None,
     return row_key(docs).select("doc_id", "_th", "text").mapInArrow(run, schema)
 
 
+def _consistent(aligned: DataFrame) -> DataFrame:
+    """Aligned copies with the rows that count: literal matches, and template matches by a consistent mapping of values."""
+    clash = lambda pairs: F.size(F.array_distinct(F.transform(pairs, lambda p: p["i"]))) < F.size(pairs)
+    step = aligned.withColumns({"same": F.filter("rows", lambda r: r["literal"]), "other": F.filter("rows", lambda r: ~r["literal"])})
+    step = step.withColumn("told", F.flatten(F.transform("other", lambda r: F.array_distinct(r["pairs"]))))
+    step = step.withColumn("pairs", F.array_distinct("told"))
+    step = step.withColumns({"named": clash(F.filter("pairs", lambda p: p["i"].startswith("N:"))), "mixed": clash(F.col("pairs"))})
+    votes = F.transform("pairs", lambda p: F.struct(p["i"].alias("i"), p["d"].alias("d"), F.size(F.filter("told", lambda q: q == p)).alias("c")))
+    step = step.withColumn("votes", F.when(F.col("mixed") & ~F.col("named"), votes))
+    better = lambda q, p: (q["i"] == p["i"]) & ((q["c"] > p["c"]) | ((q["c"] == p["c"]) & (q["d"] < p["d"])))
+    chosen = F.filter("votes", lambda p: ~F.exists("votes", lambda q: better(q, p)))
+    step = step.withColumn("chosen", F.transform(chosen, lambda p: F.struct(p["i"].alias("i"), p["d"].alias("d"))))
+    agree = F.filter("other", lambda r: F.size(F.array_except(r["pairs"], F.col("chosen"))) == 0)
+    kept = F.when(F.col("named"), F.filter("other", lambda r: F.lit(False))).when(F.col("mixed"), agree).otherwise(F.col("other"))
+    step = step.withColumn("rows", F.concat("same", kept)).where(F.size("rows") > 0)
+    return step.select(aligned.columns)
+
+
 def _matches(docs: DataFrame, benchmark: DataFrame, window: int, min_literals: int, min_matched: int, min_share: float, broadcast_windows: int) -> DataFrame:
     items = item_windows(benchmark, window, min_literals)
     facts = items.agg(F.count(F.lit(1)).alias("n"), F.collect_set("size").alias("sizes")).first()
@@ -215,9 +236,12 @@ def _matches(docs: DataFrame, benchmark: DataFrame, window: int, min_literals: i
     found = found.withColumn("dslots", F.when(F.col("literal"), F.col("islots")).otherwise(F.col("dslots")))
     pairs = F.transform(F.arrays_zip("islots", "dslots"), lambda x: F.struct(x["islots"].alias("i"), x["dslots"].alias("d")))
     aligned = found.withColumn("pairs", pairs).groupBy("doc_id", "_th", "item_id", (F.col("pos") - F.col("ipos")).alias("shift"))
-    aligned = aligned.agg(F.collect_set("ipos").alias("at"), F.collect_set(F.when(F.col("usable"), F.col("ipos"))).alias("usable"), F.array_distinct(F.flatten(F.collect_set("pairs"))).alias("pairs"), F.max("n_windows").alias("n_windows"), F.max("n_usable").alias("n_usable"))
-    # consistent: no value of the item stands for two values of the document
-    aligned = aligned.where(F.size(F.array_distinct(F.transform("pairs", lambda x: x["i"]))) == F.size("pairs"))
+    aligned = _consistent(aligned.agg(F.collect_set(F.struct("ipos", "literal", "usable", "pairs")).alias("rows"), F.max("n_windows").alias("n_windows"), F.max("n_usable").alias("n_usable")))
+    aligned = aligned.withColumns({
+        "at": F.array_distinct(F.transform("rows", lambda r: r["ipos"])),
+        "usable": F.array_distinct(F.transform(F.filter("rows", lambda r: r["usable"]), lambda r: r["ipos"])),
+        "pairs": F.array_distinct(F.flatten(F.transform("rows", lambda r: r["pairs"]))),
+    })
     whole = aligned.groupBy("doc_id", "_th", "item_id").agg(
         F.size(F.array_distinct(F.flatten(F.collect_list("at")))).cast("bigint").alias("n_matched"),
         F.size(F.array_distinct(F.flatten(F.collect_list("usable")))).alias("_matched"),

@@ -200,6 +200,18 @@ def test_items_of_few_literals_match_with_their_own_values(spark, limit):
     assert {(r["doc_id"], r["item_id"]) for r in found.collect()} == {(1, 1), (2, 2), (3, 3)}
 
 
+@pytest.mark.parametrize("limit", [decontaminate.BROADCAST_WINDOWS, 0])
+def test_one_conflict_does_not_hide_the_rest(spark, limit):
+    rest = "the keeper counts the boats in the harbour and writes the number into a thick green book that nobody else may read or carry away"
+    named = "Once Eve and her aunt came by, " + rest + ", until at last Eve went home with the book."
+    sums = "A shop sells {} red pens and a few blue ones, while its owner sits behind a wooden table all morning and reads about distant islands, then it sells {} green pens to a school far away in the hills."
+    docs = [(1, named.replace("last Eve", "last Finn")), (2, sums.format(5, 7)), (3, sums.format(8, 9)), (4, sums.format(8, 8)), (5, "Once Ann came by, then she sold 5 red pens and 7 green ones to a school.")]
+    items = [(1, named), (2, sums.format(5, 5)), (3, "He had {0} eggs in a box and {0} more eggs in the other box at home.".format(6))]
+    docs += [(6, "He had 2 eggs in a box and 3 more eggs in the other box at home.")]
+    found = decontaminate.find_contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"), broadcast_windows=limit)
+    assert {(r["doc_id"], r["item_id"]) for r in found.collect()} == {(1, 1), (2, 2), (3, 2), (4, 2), (6, 3)}
+
+
 def test_tokens_and_kinds():
     tokens, _, kind = decontaminate.Templates().tokens("The car went 5km. Then Bob, aged 7, ran 10 % of 3.5 miles\nSo did he | and Ann")
     assert [(t.strip(decontaminate.MARKS), int(k)) for t, k in zip(tokens, kind) if k] == [("5", 1), ("km", 3), ("Bob", 2), ("7", 1), ("10", 1), ("", 3), ("3.5", 1), ("miles", 3), ("Ann", 2)]
