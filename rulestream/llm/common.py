@@ -102,12 +102,13 @@ def _as_bytes(column: pa.Array) -> pa.Array:
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, parts: int, part: int, per_class: int) -> DataFrame:
-    """(doc_id, label, text) of at most about ``per_class`` labelled rows of each class, for training.
+    """(doc_id, label, weight, text) of at most about ``per_class`` labelled rows of each class, for training.
 
     Rows held out (crc32 of the id modulo ``parts`` is ``part``) and rows without a label, id or
     text are left out; of contradicting labels for an id, the largest counts. The ids are chosen by
     hash, so the sample doesn't depend on the order of the rows, and the chosen ids are broadcast:
-    ``per_class`` bounds them. Documents are read once, without a shuffle.
+    ``per_class`` bounds them. ``weight`` is the number of labelled ids of the class for each chosen
+    one. Documents are read once, without a shuffle.
     """
     rows = labels.select("doc_id", F.col(label).cast("int").alias("label")).where(F.col("label").isin(0, 1) & F.col("doc_id").isNotNull())
     rows = rows.where(~held_out(F.col("doc_id"), parts, part)).groupBy("doc_id").agg(F.max("label").alias("label"))
@@ -116,4 +117,9 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, parts: int,
     for k, count in n.items():
         share = F.when(F.col("label") == k, F.lit(min(1.0, per_class / count))).otherwise(share)
     chosen = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < share * (1 << 20))
-    return docs.select("doc_id", "text").where(F.col("text").isNotNull()).join(F.broadcast(chosen), "doc_id").select("doc_id", "label", "text")
+    weight = F.lit(1.0)
+    if any(count > per_class for count in n.values()):
+        for r in chosen.groupBy("label").count().collect():
+            weight = F.when(F.col("label") == r["label"], F.lit(n[r["label"]] / r["count"])).otherwise(weight)
+    chosen = chosen.withColumn("weight", weight)
+    return docs.select("doc_id", "text").where(F.col("text").isNotNull()).join(F.broadcast(chosen), "doc_id").select("doc_id", "label", "weight", "text")

@@ -6,7 +6,8 @@ gives most rules no weight, and the rest are compiled to one Spark column expres
 stays in the JVM and needs no shuffle.
 
 Trees and weights are fitted on at most about ``per_class`` labelled rows of each class (their
-statistics, not their texts, come to the driver); all documents and whole texts are scored.
+statistics, not their texts, come to the driver), each weighed by the rows of its class that it
+stands for, so scores don't depend on how much was left out; all documents and whole texts are scored.
 
 Defined results: a null text counts as an empty one, and an empty text is scored like any other,
 by statistics of zero. Without labelled rows of both classes the score is the share of good rows
@@ -93,13 +94,13 @@ def _grow(x: np.ndarray, grad: np.ndarray, hess: np.ndarray, cuts: list[np.ndarr
     return paths, value
 
 
-def grow_rules(x: np.ndarray, y: np.ndarray, trees: int = 24, depth: int = 3, rate: float = 0.4, bins: int = 48) -> list[tuple[Condition, ...]]:
+def grow_rules(x: np.ndarray, y: np.ndarray, trees: int = 24, depth: int = 3, rate: float = 0.4, bins: int = 48, weight: np.ndarray | float = 1.0) -> list[tuple[Condition, ...]]:
     """The distinct paths of boosted trees."""
     cuts = [np.unique(np.quantile(col, np.linspace(0, 1, bins + 1)[1:-1])) for col in x.T]
     margin, rules = np.zeros(len(x)), {}
     for _ in range(trees):
         p = 1 / (1 + np.exp(-margin))
-        paths, step = _grow(x, y - p, p * (1 - p), cuts, depth, (), max(4, len(x) // 400))
+        paths, step = _grow(x, weight * (y - p), weight * p * (1 - p), cuts, depth, (), max(4, len(x) // 400))
         margin += rate * 4 * np.clip(step, -1, 1)
         for path in paths:
             rules[_tidy(path)] = None
@@ -119,18 +120,21 @@ def fires(rule: tuple[Condition, ...], x: np.ndarray) -> np.ndarray:
     return reduce(and_, [(x[:, f] <= v) == low for f, low, v in rule])
 
 
-def lasso_logistic(z: np.ndarray, y: np.ndarray, penalty: float, steps: int = 600) -> tuple[np.ndarray, float]:
-    """Weights and constant by accelerated proximal gradient; the constant isn't penalised."""
-    scale = z.std(0) + 1e-6
-    zs, center = z / scale, z.mean(0) / scale
+def lasso_logistic(z: np.ndarray, y: np.ndarray, penalty: float, steps: int = 600, weight: np.ndarray | None = None) -> tuple[np.ndarray, float]:
+    """Weights and constant by accelerated proximal gradient; the constant isn't penalised. ``weight`` of the rows has a mean of 1."""
+    weight = np.ones(len(z)) if weight is None else weight
+    mean, share = (weight[:, None] * z).mean(0), float((weight * y).mean())
+    scale = np.sqrt((weight[:, None] * (z - mean) ** 2).mean(0)) + 1e-6
+    zs, center = z / scale, mean / scale
     zs = zs - center
-    w, b = np.zeros(z.shape[1]), float(np.log((y.mean() + 1e-6) / (1 - y.mean() + 1e-6)))
+    w, b = np.zeros(z.shape[1]), float(np.log((share + 1e-6) / (1 - share + 1e-6)))
     v, vb, t = w, b, 1.0
-    size = 4 * len(z) / max(np.linalg.norm(zs, 2) ** 2, 1e-9) if zs.size else 1.0
+    size = 4 * len(z) / max(np.linalg.norm(np.sqrt(weight)[:, None] * zs, 2) ** 2, 1e-9) if zs.size else 1.0
     for _ in range(steps):
         p = 1 / (1 + np.exp(-np.clip(zs @ v + vb, -50, 50)))
-        raw = v + size * (zs.T @ (y - p)) / len(z)
-        new, nb = np.sign(raw) * np.maximum(np.abs(raw) - size * penalty, 0), vb + 4 * float((y - p).mean())
+        off = weight * (y - p)
+        raw = v + size * (zs.T @ off) / len(z)
+        new, nb = np.sign(raw) * np.maximum(np.abs(raw) - size * penalty, 0), vb + 4 * float(off.mean())
         nt = (1 + (1 + 4 * t * t) ** 0.5) / 2
         v, vb = new + (t - 1) / nt * (new - w), nb + (t - 1) / nt * (nb - b)
         w, b, t = new, nb, nt
@@ -157,22 +161,24 @@ class Ensemble:
         return 1 / (1 + np.exp(-total))
 
 
-def fit(x: np.ndarray, y: np.ndarray, penalty: float = 2e-3) -> Ensemble:
+def fit(x: np.ndarray, y: np.ndarray, penalty: float = 2e-3, weight: np.ndarray | None = None) -> Ensemble:
+    """An ensemble from statistics and labels; ``weight`` tells how many rows each row stands for, one if not given."""
     if len(y) == 0 or y.min() == y.max():
         share = min(max(float(y.mean()) if len(y) else 0.5, 1e-6), 1 - 1e-6)
         return Ensemble((), float(np.log(share / (1 - share))))
-    rules = grow_rules(x, y)
+    weight = np.ones(len(y)) if weight is None else weight / weight.mean()
+    rules = grow_rules(x, y, weight=weight)
     z = np.column_stack([fires(r, x) for r in rules]).astype(float) if rules else np.zeros((len(x), 0))
-    w, b = lasso_logistic(z, y, penalty)
+    w, b = lasso_logistic(z, y, penalty, weight=weight)
     return Ensemble(tuple((r, float(v)) for r, v in zip(rules, w) if abs(v) > 1e-6), b)
 
 
 def train(docs: DataFrame, labels: DataFrame, parts: int = 4, part: int = 2, per_class: int = 6000, label: str = "quality") -> Ensemble:
     """An ensemble from the labelled documents that aren't held out, weighed to their share of good ones."""
-    sample = with_statistics(labelled_sample(docs, labels, label, parts, part, per_class).select("doc_id", "label", "text"))
-    rows = sorted(sample.select("doc_id", "label", *(f"_q_{k}" for k in STATS)).collect(), key=lambda r: tuple(map(str, r)))
-    x, y = np.array([list(r[2:]) for r in rows], float).reshape(-1, len(STATS)), np.array([float(r[1]) for r in rows])
-    return fit(x, y)
+    sample = with_statistics(labelled_sample(docs, labels, label, parts, part, per_class).select("doc_id", "label", "weight", "text"))
+    rows = sorted(sample.select("doc_id", "label", "weight", *(f"_q_{k}" for k in STATS)).collect(), key=lambda r: tuple(map(str, r)))
+    x, y = np.array([list(r[3:]) for r in rows], float).reshape(-1, len(STATS)), np.array([float(r[1]) for r in rows])
+    return fit(x, y, weight=np.array([r["weight"] for r in rows]))
 
 
 def score_documents(docs: DataFrame, ensemble: Ensemble, least: float = 0.7) -> DataFrame:

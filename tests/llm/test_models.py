@@ -87,6 +87,19 @@ def test_rules_on_the_table(spark):
     assert all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 4 == 2) and r["predicted"] == (r["score"] >= 0.7) for r in got)
 
 
+def test_a_small_sample_keeps_the_share_of_classes(spark):
+    # two kinds of documents that statistics tell apart; in one of them three of four are good
+    rng = random.Random(8)
+    rows = []
+    for i in range(4000):
+        plain = rng.random() < 0.9
+        rows.append((i, int(rng.random() < (0.75 if plain else 0.05)), words(rng, 12, [] if plain else ["###"] * 9)))
+    docs = spark.createDataFrame([(i, t) for i, _, t in rows], "doc_id long, text string").repartition(4).cache()
+    labels = spark.createDataFrame([(i, k) for i, k, _ in rows], "doc_id long, quality int")
+    whole, part = (np.array([r["score"] for r in rulefit.score_documents(docs, rulefit.train(docs, labels, per_class=n)).orderBy("doc_id").collect()]) for n in (6000, 600))
+    assert abs(whole.mean() - part.mean()) < 0.03 and np.mean((whole >= 0.7) == (part >= 0.7)) > 0.9
+
+
 def test_compiled_rules_score_as_the_model_does(spark):
     rng = random.Random(5)
     rows = [(i, words(rng, rng.randint(1, 60), ["!!!"] * rng.randint(0, 9) + ["###"] * rng.randint(0, 9)) + "\n" * rng.randint(0, 3)) for i in range(120)]
