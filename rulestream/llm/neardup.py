@@ -21,7 +21,8 @@ component is itself. Rows that share a doc_id are separate rows with the same id
 aren't linked their components may differ. Repeated rows have equal results. Null ids don't count
 for the smallest id of a component; one of null ids only has a null component, and is kept. An
 empty table gives an empty table. Other input columns aren't needed and are dropped by ``cluster``;
-``keep_first`` returns them.
+``keep_first`` returns them, for one row of each component: the first by id, nulls last, then by the
+hash of the text. Of rows with an empty set it keeps one for each id and text.
 """
 
 from __future__ import annotations
@@ -113,7 +114,8 @@ def linked(a: np.ndarray, b: np.ndarray, percent: int = PERCENT) -> bool:
 
 
 def _describe(docs: DataFrame) -> DataFrame:
-    """(doc_id, n, digest, sig): the size, identity and signature of each document's set."""
+    """(doc_id, n, digest, sig): the size, identity and signature of each document's set; ``_th`` too if it is there."""
+    kept = [c for c in ("doc_id", "_th") if c in docs.columns]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -124,9 +126,9 @@ def _describe(docs: DataFrame) -> DataFrame:
                     n.append(len(found))
                     digest.append(hashlib.blake2b(found.tobytes(), digest_size=16).digest() if len(found) else None)
                     sig.append(signature(found).tobytes() if len(found) else None)
-                yield pa.RecordBatch.from_pydict({"doc_id": part.column("doc_id"), "n": pa.array(n, pa.int64()), "digest": pa.array(digest, pa.binary()), "sig": pa.array(sig, pa.binary())})
+                yield pa.RecordBatch.from_pydict({**{c: part.column(c) for c in kept}, "n": pa.array(n, pa.int64()), "digest": pa.array(digest, pa.binary()), "sig": pa.array(sig, pa.binary())})
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {type_of(docs, 'doc_id')}, n bigint, digest binary, sig binary")
+    return docs.select(*kept, "text").mapInArrow(run, ", ".join(f"{c} {type_of(docs, c)}" for c in kept) + ", n bigint, digest binary, sig binary")
 
 
 def _bands(nodes: DataFrame) -> DataFrame:
@@ -256,10 +258,11 @@ def _second_round(members: DataFrame, roots: DataFrame, nodes: DataFrame, sets:
     return laid.groupBy("bucket", "mb", "ob").applyInArrow(compare, "a bigint, b bigint")
 
 
-def cluster(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept) of every row of ``docs``."""
+def _clustered(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The rows of ``docs`` as described, and the nodes with the root of each; with ``_th`` also each node's first row."""
     told = cut(_describe(docs))
-    nodes = told.where("n > 0").groupBy("digest").agg(F.min("doc_id").alias("doc"), F.first("n").alias("n"), F.first("sig").alias("sig"))
+    lead = [F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_th")).alias("lead")] if "_th" in docs.columns else []
+    nodes = told.where("n > 0").groupBy("digest").agg(F.min("doc_id").alias("doc"), F.first("n").alias("n"), F.first("sig").alias("sig"), *lead)
     nodes = cut(nodes.withColumn("node", F.monotonically_increasing_id()))
     bands = _bands(nodes)
     shared = bands.groupBy("bucket").agg(F.min("node").alias("first"), F.count(F.lit(1)).alias("c")).where("c > 1").select("bucket", "first")
@@ -273,8 +276,13 @@ def cluster(docs: DataFrame) -> DataFrame:
     # the second round's links join components, so they are few; the first round's are contracted to roots
     over = more.join(roots.select(F.col("node").alias("a"), F.col("root").alias("ra")), "a", "left").join(roots.select(F.col("node").alias("b"), F.col("root").alias("rb")), "b", "left")
     top = components(over.select(F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b")))
-    named = nodes.select("node", "digest", "doc").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    named = named.join(top.select(F.col("node").alias("root"), F.col("root").alias("_top")), "root", "left").withColumn("root", F.coalesce("_top", "root"))
+    named = nodes.drop("n", "sig").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    return told, named.join(top.select(F.col("node").alias("root"), F.col("root").alias("_top")), "root", "left").withColumn("root", F.coalesce("_top", "root"))
+
+
+def cluster(docs: DataFrame) -> DataFrame:
+    """(doc_id, n_shingles, component_id, kept) of every row of ``docs``."""
+    told, named = _clustered(docs.select("doc_id", "text"))
     smallest = named.groupBy("root").agg(F.min("doc").alias("component_id"))
     answer = named.join(smallest, "root").select("digest", "component_id")
     joined = told.select("doc_id", F.col("n").alias("n_shingles"), "digest").join(answer, "digest", "left")
@@ -283,7 +291,9 @@ def cluster(docs: DataFrame) -> DataFrame:
 
 
 def keep_first(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that are the first of their component; of repeated rows, one."""
-    kept = cluster(docs).where("kept").select(F.col("doc_id").alias("_kept")).distinct()
+    """The first row of each component of ``docs``; of repeated rows, one."""
+    told, named = _clustered(row_key(docs.select("doc_id", "text")))
+    first = named.groupBy("root").agg(F.min("lead").alias("lead")).select("lead.doc_id", "lead._th")
+    kept = first.unionByName(told.where("n = 0").select("doc_id", "_th")).distinct().select(F.col("doc_id").alias("_d"), F.col("_th").alias("_t"))
     keyed = row_key(docs)
-    return keyed.join(kept, keyed["doc_id"].eqNullSafe(kept["_kept"]), "left_semi").dropDuplicates(["doc_id", "_th"]).select(docs.columns)
+    return keyed.join(kept, keyed["doc_id"].eqNullSafe(kept["_d"]) & (keyed["_th"] == kept["_t"]), "left_semi").dropDuplicates(["doc_id", "_th"]).select(docs.columns)

@@ -74,6 +74,14 @@ def test_odd_rows(spark):
     assert keep_first(more).columns == more.columns and keep_first(more).count() == 1
 
 
+def test_one_row_of_each_group_stays_with_null_and_repeated_ids(spark):
+    first, second, third = (" ".join(f"{k}{i}" for i in range(60)) for k in "abc")
+    rows = [(7, first), (None, first + " more"), (None, second), (None, second + " more"), (8, third), (8, third + " more"), (9, third), (None, None), (None, None), (8, None), (8, " ")]
+    got = [(r["doc_id"], r["text"]) for r in keep_first(spark.createDataFrame(rows, SCHEMA)).collect()]
+    groups = [(d, "abc".index(t[0]) if (t or "").strip() else t) for d, t in got]
+    assert sorted(map(str, groups)) == sorted(map(str, [(7, 0), (None, 1), (8, 2), (None, None), (8, None), (8, " ")]))
+
+
 def test_components_of_chains_stars_and_cliques(spark):
     edges = [(i, i + 1) for i in range(200, 260)] + [(0, i) for i in range(1, 50)] + [(a, b) for a in range(500, 508) for b in range(500, 508)] + [(900 - i, 901 - i) for i in range(0, 40)]
     got = {r["node"]: r["root"] for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
