@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import contextlib
-import ctypes
-import gc
 import tempfile
 from collections.abc import Callable, Iterator
 
@@ -25,31 +22,60 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder of ``spark.checkpoint.dir``; a temporary one only where none is set."""
+    """The shared folder of ``spark.checkpoint.dir``; a temporary one only where none is set and Spark runs on this machine alone."""
     sc = spark.sparkContext
     if found := sc.getCheckpointDir():
         return found
-    sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="rulestream-ckpt-"))
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder and sc.master != "local" and not sc.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="rulestream-ckpt-"))
     return sc.getCheckpointDir()
 
 
+def remove(spark: SparkSession, folder: str) -> None:
+    """Delete a folder that one of these operators has written and nothing needs any more."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """``df`` computed once and written to the shared checkpoint folder."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
-def release_memory() -> None:
-    """Give memory that a fit on the driver has freed back to the system, where the C library can."""
-    gc.collect()
-    pa.default_memory_pool().release_unused()
-    with contextlib.suppress(AttributeError, OSError):
-        ctypes.CDLL(None).malloc_trim(0)
+def col(name: str) -> Column:
+    """A column by its whole name, whatever characters that has."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def free(df: DataFrame, *names: str) -> list[str]:
+    """The names, lengthened where ``df`` has columns of those names, so that none of its columns is hidden."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def without(df: DataFrame, *names: str) -> DataFrame:
+    """``df`` without the columns that new ones of these names replace."""
+    replaced = {n.lower() for n in names}
+    return df.select(*(col(c) for c in df.columns if c.lower() not in replaced))
+
+
+def valid(text: str = "text") -> Column:
+    """A text with U+FFFD for each sequence of bytes that isn't UTF-8."""
+    return F.make_valid_utf8(col(text))
 
 
-def row_key(docs: DataFrame) -> DataFrame:
-    """``docs`` with ``_th``: with doc_id it names a row's content, also where doc_ids repeat."""
-    return docs.withColumn("_th", F.xxhash64(F.col("text")))
+def text_hash(text: str = "text") -> Column:
+    """With the doc_id it names a row's content, also where doc_ids repeat."""
+    return F.xxhash64(col(text))
 
 
 def held_out(doc_id: Column, parts: int, part: int) -> Column:
@@ -67,7 +93,7 @@ def byte_texts(column: pa.Array | pa.ChunkedArray) -> list[bytes]:
     return [x or b"" for x in column.cast(kind).to_pylist()]
 
 
-def add_columns(df: DataFrame, fields: str, sources: str | tuple[str, ...], fill: Callable[[], Callable[..., list[list]]], rows: int = 256) -> DataFrame:
+def add_columns(df: DataFrame, fields: str, sources: str | Column | tuple[str | Column, ...], fill: Callable[[], Callable[..., list[list]]], rows: int = 256) -> DataFrame:
     """``df`` with columns made by Python from some of its columns; the new ones come last.
 
     ``fill()`` is called once for each task and gives a function from the values of the source
@@ -75,12 +101,15 @@ def add_columns(df: DataFrame, fields: str, sources: str | tuple[str, ...], fill
     time and its results leave at once, so a worker holds no more than one Arrow batch of input and
     one slice of output. New columns replace those of the same name, which may be sources.
     """
-    sources = (sources,) if isinstance(sources, str) else sources
+    sources = sources if isinstance(sources, tuple) else (sources,)
     made = T._parse_datatype_string(fields)
     names = [f.name for f in made]
-    kept = [c for c in df.columns if c not in names]
-    df = df.select(*(F.col(f"`{c}`") for c in kept), *(F.col(c).alias(f"_from_{c}") for c in sources))
-    schema = T.StructType([*df.schema.fields[: len(kept)], *made])
+    rest = without(df, *names)
+    kept = rest.columns
+    schema = T.StructType([*rest.schema.fields, *made])
+    # inside, columns go by number: their own names may be anything
+    values = [*(col(c) for c in kept), *(col(c) if isinstance(c, str) else c for c in sources)]
+    df = df.select(*(c.alias(f"c{i}") for i, c in enumerate(values)))
     kinds = [to_arrow_type(f.dataType) for f in made]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -102,13 +131,14 @@ def _as_bytes(column: pa.Array) -> pa.Array:
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, parts: int, part: int, per_class: int) -> DataFrame:
-    """(doc_id, label, weight, text) of at most about ``per_class`` labelled rows of each class, for training.
+    """(doc_id, label, weight, text) of at most about ``per_class`` labelled ids of each class, for training.
 
     Rows held out (crc32 of the id modulo ``parts`` is ``part``) and rows without a label, id or
-    text are left out; of contradicting labels for an id, the largest counts. The ids are chosen by
-    hash, so the sample doesn't depend on the order of the rows, and the chosen ids are broadcast:
-    ``per_class`` bounds them. ``weight`` is the number of labelled ids of the class for each chosen
-    one. Documents are read once, without a shuffle.
+    text are left out; of contradicting labels for an id, the largest counts, and of several texts
+    the first by hash. The ids are chosen by hash, so the sample doesn't depend on the order of the
+    rows, and the chosen ids are broadcast: ``per_class`` bounds them and the sample. ``weight`` is
+    the number of labelled ids of the class for each chosen one. Documents are read once, and no
+    others than those chosen are shuffled.
     """
     rows = labels.select("doc_id", F.col(label).cast("int").alias("label")).where(F.col("label").isin(0, 1) & F.col("doc_id").isNotNull())
     rows = rows.where(~held_out(F.col("doc_id"), parts, part)).groupBy("doc_id").agg(F.max("label").alias("label"))
@@ -122,4 +152,5 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, parts: int,
         for r in chosen.groupBy("label").count().collect():
             weight = F.when(F.col("label") == r["label"], F.lit(n[r["label"]] / r["count"])).otherwise(weight)
     chosen = chosen.withColumn("weight", weight)
-    return docs.select("doc_id", "text").where(F.col("text").isNotNull()).join(F.broadcast(chosen), "doc_id").select("doc_id", "label", "weight", "text")
+    texts = docs.select("doc_id", valid().alias("text")).where(F.col("text").isNotNull()).join(F.broadcast(chosen), "doc_id")
+    return texts.groupBy("doc_id", "label", "weight").agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text"))

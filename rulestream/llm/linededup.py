@@ -5,7 +5,8 @@ bits and exploded as (key, document). Keys found in ``min_docs`` distinct docume
 lines everywhere. Only hashes and positions are shuffled for the decision; the text is touched
 again when each document is put together from the positions that remain.
 
-Defined results: a null or empty text is one empty line, and the result's text is then empty.
+Defined results: a null or empty text is one empty line, and the result's text is then empty. Lines
+are compared and kept byte by byte, also where they aren't UTF-8.
 Rows that share a doc_id count as one document; rows with a null doc_id together count as one.
 Repeated rows are each kept, with the same result. An empty table gives an empty table. Input
 columns other than ``doc_id`` and ``text`` pass through; ``n_lines`` and ``n_dropped`` replace
@@ -21,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rulestream.llm.common import WS_BYTES, add_columns, byte_texts, cut, row_key, type_of
+from rulestream.llm.common import WS_BYTES, add_columns, byte_texts, col, cut, free, text_hash, type_of
 
 
 def line_keys(text: bytes) -> list[bytes]:
@@ -66,27 +67,28 @@ def frequent_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1) -> D
 def dedup_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1) -> DataFrame:
     """``docs`` with the frequent lines taken out of ``text``, and n_lines and n_dropped."""
     frequent = cut(frequent_lines(docs, min_docs, min_chars)).select("key")
-    keyed = row_key(docs)
+    th, lost_id, lost_th, gone = free(docs, "_th", "_lost_id", "_lost_th", "_lost")
     lost = (
-        _explode(keyed, min_chars, positions=True)
+        _explode(docs.select("doc_id", "text", text_hash().alias("_th")), min_chars, positions=True)
         .join(frequent, "key", "left_semi")
         .groupBy("doc_id", "_th")
-        .agg(F.collect_set("pos").alias("_lost"))
-        .select(F.col("doc_id").alias("_lost_id"), F.col("_th").alias("_lost_th"), "_lost")
+        .agg(F.collect_set("pos").alias(gone))
+        .select(F.col("doc_id").alias(lost_id), F.col("_th").alias(lost_th), gone)
     )
 
     def rebuild(texts: list[bytes | None], lost: list[list[int] | None]) -> list[list]:
         kept, n_lines, n_dropped = [], [], []
-        for text, gone in zip(texts, lost):
+        for text, places in zip(texts, lost):
             lines = (text or b"").split(b"\n")
-            drop = set(gone or ())
+            drop = set(places or ())
             rest = [x for i, x in enumerate(lines) if i not in drop] if drop else lines
-            kept.append(b"\n".join(rest).decode())
+            kept.append(b"\n".join(rest))
             n_lines.append(len(lines))
             n_dropped.append(len(lines) - len(rest))
         return [kept, n_lines, n_dropped]
 
-    same = keyed["doc_id"].eqNullSafe(lost["_lost_id"]) & keyed["_th"].eqNullSafe(lost["_lost_th"])
-    joined = keyed.join(lost, same, "left").drop("_lost_id", "_lost_th", "_th")
-    made = add_columns(joined, "text string, n_lines bigint, n_dropped bigint", ("text", "_lost"), lambda: rebuild)
-    return made.select(*[c for c in docs.columns if c not in ("n_lines", "n_dropped")], "n_lines", "n_dropped")
+    keyed = docs.withColumn(th, text_hash())
+    same = keyed["doc_id"].eqNullSafe(F.col(lost_id)) & keyed[th].eqNullSafe(F.col(lost_th))
+    joined = keyed.join(lost, same, "left").drop(lost_id, lost_th, th)
+    made = add_columns(joined, "text binary, n_lines bigint, n_dropped bigint", ("text", gone), lambda: rebuild).withColumn("text", F.col("text").cast("string"))
+    return made.select(*(col(c) for c in docs.columns if c.lower() not in ("n_lines", "n_dropped")), "n_lines", "n_dropped")

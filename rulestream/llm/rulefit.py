@@ -13,6 +13,7 @@ Defined results: a null text counts as an empty one, and an empty text is scored
 by statistics of zero. Without labelled rows of both classes the score is the share of good rows
 among them, 0.5 if there are none. Repeated rows get equal results. An empty table gives an empty
 table. Input columns pass through; ``score`` and ``predicted`` replace columns of the same name.
+Bytes that aren't UTF-8 count as U+FFFD.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rulestream.llm.common import WS_CHARS, labelled_sample
+from rulestream.llm.common import WS_CHARS, free, labelled_sample, valid, without
 
 WS_RE = r"[\x20\x09-\x0D]+"
 STATS = (
@@ -34,34 +35,44 @@ STATS = (
 )
 
 
+def prefix_for(docs: DataFrame) -> str:
+    """A prefix that no column of ``docs`` has."""
+    prefix = "_q_"
+    while any(c.lower().startswith(prefix) for c in docs.columns):
+        prefix = "_" + prefix
+    return prefix
+
+
 def with_statistics(docs: DataFrame, prefix: str = "_q_") -> DataFrame:
     """``docs`` with the statistics, as doubles, under ``prefix``."""
-    text = F.coalesce(F.col("text"), F.lit(""))
+    text = F.coalesce(valid(), F.lit(""))
     n = lambda c: c.cast("double")
-    without = lambda chars: F.length(text) - F.length(F.translate(text, chars, ""))
+    without_chars = lambda chars: F.length(text) - F.length(F.translate(text, chars, ""))
     trimmed = F.btrim(text, F.lit(WS_CHARS))
-    step = docs.withColumn("_t", F.when(trimmed == "", F.array().cast("array<string>")).otherwise(F.split(trimmed, WS_RE, -1)))
-    step = step.withColumn("_l", F.filter(F.split(text, "\n", -1), lambda x: F.btrim(x, F.lit(WS_CHARS)) != ""))
-    step = step.withColumns({"_n": n(F.size("_t")), "_c": n(F.length(text)), "_d": F.array_distinct("_t"), "_ln": n(F.size("_l")), "_len": F.transform("_t", lambda w: F.length(w))})
-    some, chars, lines = F.greatest("_n", F.lit(1.0)), F.greatest("_c", F.lit(1.0)), F.greatest("_ln", F.lit(1.0))
+    own = free(docs, "_t", "_l", "_n", "_c", "_d", "_ln", "_len")
+    t, ls, nw, nc, d, ln, lens = own
+    step = docs.withColumn(t, F.when(trimmed == "", F.array().cast("array<string>")).otherwise(F.split(trimmed, WS_RE, -1)))
+    step = step.withColumn(ls, F.filter(F.split(text, "\n", -1), lambda x: F.btrim(x, F.lit(WS_CHARS)) != ""))
+    step = step.withColumns({nw: n(F.size(t)), nc: n(F.length(text)), d: F.array_distinct(t), ln: n(F.size(ls)), lens: F.transform(t, lambda w: F.length(w))})
+    some, chars, lines = F.greatest(nw, F.lit(1.0)), F.greatest(nc, F.lit(1.0)), F.greatest(ln, F.lit(1.0))
     made = {
-        "words": F.log1p("_n"),
-        "mean_word": n(F.aggregate("_len", F.lit(0).cast("bigint"), lambda a, x: a + x)) / some,
-        "long_words": n(F.size(F.filter("_len", lambda x: x >= 8))) / some,
-        "short_words": n(F.size(F.filter("_len", lambda x: x <= 3))) / some,
-        "distinct_words": n(F.size("_d")) / some,
-        "symbols": n(without("#*$%&|<>@^~{}[]\\+=_")) / chars,
-        "marks": n(without("!?.,;:")) / chars,
+        "words": F.log1p(nw),
+        "mean_word": n(F.aggregate(lens, F.lit(0).cast("bigint"), lambda a, x: a + x)) / some,
+        "long_words": n(F.size(F.filter(lens, lambda x: x >= 8))) / some,
+        "short_words": n(F.size(F.filter(lens, lambda x: x <= 3))) / some,
+        "distinct_words": n(F.size(d)) / some,
+        "symbols": n(without_chars("#*$%&|<>@^~{}[]\\+=_")) / chars,
+        "marks": n(without_chars("!?.,;:")) / chars,
         "upper": n(F.length(text) - F.length(F.regexp_replace(text, r"\p{Lu}+", ""))) / chars,
-        "digits": n(without("0123456789")) / chars,
-        "lines": F.log1p("_ln"),
-        "line_words": F.col("_n") / lines,
-        "dup_lines": (F.col("_ln") - n(F.size(F.array_distinct("_l")))) / lines,
-        "alone": n(F.size(F.filter("_t", lambda w: F.length(w) == 1))) / some,
-        "top_word_share": (F.col("_n") - n(F.size("_d"))) / F.greatest(F.sqrt("_n"), F.lit(1.0)),
-        "ends_marked": n(F.size(F.filter("_l", lambda x: F.btrim(x, F.lit(WS_CHARS)).rlike(r"[.!?]$")))) / lines,
+        "digits": n(without_chars("0123456789")) / chars,
+        "lines": F.log1p(ln),
+        "line_words": F.col(nw) / lines,
+        "dup_lines": (F.col(ln) - n(F.size(F.array_distinct(ls)))) / lines,
+        "alone": n(F.size(F.filter(t, lambda w: F.length(w) == 1))) / some,
+        "top_word_share": (F.col(nw) - n(F.size(d))) / F.greatest(F.sqrt(nw), F.lit(1.0)),
+        "ends_marked": n(F.size(F.filter(ls, lambda x: F.btrim(x, F.lit(WS_CHARS)).rlike(r"[.!?]$")))) / lines,
     }
-    return step.withColumns({prefix + k: v for k, v in made.items()}).drop("_t", "_l", "_n", "_c", "_d", "_ln", "_len")
+    return step.withColumns({prefix + k: v for k, v in made.items()}).drop(*own)
 
 
 Condition = tuple[int, bool, float]  # feature, at most (else above), value
@@ -174,7 +185,7 @@ def fit(x: np.ndarray, y: np.ndarray, penalty: float = 2e-3, weight: np.ndarray
 
 
 def train(docs: DataFrame, labels: DataFrame, parts: int = 4, part: int = 2, per_class: int = 6000, label: str = "quality") -> Ensemble:
-    """An ensemble from the labelled documents that aren't held out, weighed to their share of good ones."""
+    """An ensemble from the labelled documents that aren't held out; a sampled row weighs as many of its class as it stands for."""
     sample = with_statistics(labelled_sample(docs, labels, label, parts, part, per_class).select("doc_id", "label", "weight", "text"))
     rows = sorted(sample.select("doc_id", "label", "weight", *(f"_q_{k}" for k in STATS)).collect(), key=lambda r: tuple(map(str, r)))
     x, y = np.array([list(r[3:]) for r in rows], float).reshape(-1, len(STATS)), np.array([float(r[1]) for r in rows])
@@ -183,5 +194,7 @@ def train(docs: DataFrame, labels: DataFrame, parts: int = 4, part: int = 2, per
 
 def score_documents(docs: DataFrame, ensemble: Ensemble, least: float = 0.7) -> DataFrame:
     """``docs`` with ``score`` (0 to 1) and ``predicted`` (1 from a score of ``least``)."""
-    stats = with_statistics(docs.drop("score", "predicted"))
-    return stats.withColumn("score", ensemble.column()).withColumn("predicted", (F.col("score") >= least).cast("int")).drop(*(f"_q_{k}" for k in STATS))
+    docs = without(docs, "score", "predicted")
+    prefix = prefix_for(docs)
+    stats = with_statistics(docs, prefix)
+    return stats.withColumn("score", ensemble.column(prefix)).withColumn("predicted", (F.col("score") >= least).cast("int")).drop(*(prefix + k for k in STATS))

@@ -10,8 +10,8 @@ driver and broadcast. At the largest size allowed it takes a few MB.
 
 Defined results: a null key is hashed as a missing value and always has the same shard; an empty
 text is another key. Equal keys share a shard. An empty table gives an empty table. Input columns
-pass through; ``slot`` and ``shard`` replace columns of the same name. A heavy key has one shard by
-definition; ``salt`` spreads chosen columns' values over several.
+pass through; ``slot`` and ``shard`` replace columns of the same name, the key among them. A heavy
+key has one shard by definition; to spread one, key by a column that also holds a salt.
 """
 
 from __future__ import annotations
@@ -21,6 +21,8 @@ import hashlib
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from rulestream.llm.common import col, without
+
 TABLE_SIZE = 65_537
 MOST_SLOTS = 1_000_003
 
@@ -75,5 +77,5 @@ def slot_of(key: Column, size: int = TABLE_SIZE) -> Column:
 
 def assign_shards(rows: DataFrame, key: str, shards: list[str], size: int = TABLE_SIZE) -> DataFrame:
     """``rows`` with the slot and the shard of their key: no shuffle, one broadcast look-up."""
-    rows = rows.drop("shard").withColumn("slot", slot_of(F.col(key), size))
+    rows = rows.select(*(col(c) for c in without(rows, "slot", "shard").columns), slot_of(col(key), size).alias("slot"))
     return rows.join(F.broadcast(lookup_table(rows.sparkSession, shards, size)), "slot", "inner")
