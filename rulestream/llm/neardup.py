@@ -9,9 +9,10 @@ Nodes meet in buckets, one for each band of their signature. Links are found in
    similarity reaches the threshold falls below ``miss``. Survivors are verified on their full sets.
 2. Buckets whose nodes are not yet of one component are compared completely, but only across
    components: the nodes outside a bucket's largest component against all of its nodes, in blocks
-   of bounded size. Within a block exact intersections are counted, and only links that join two
-   components leave it. So no bucket is capped, none emits all its pairs, and no link is lost that
-   the bands could find.
+   of bounded size, each pair in the first bucket that it shares. Signatures come first and are
+   pruned as before; only nodes that keep a partner in a block have their sets sent to it. There
+   exact intersections are counted, and only links that join two components leave the block. So no
+   bucket is capped, none emits all its pairs, and no link is lost that the bands could find.
 
 Each pair at the threshold shares a band but for a probability of (1 - t ** rows) ** bands, 5e-6 by
 default, and is pruned wrongly with one of about ``miss``.
@@ -20,9 +21,10 @@ Defined results: a null text and one without words has an empty set and is linke
 component is itself. Rows that share a doc_id are separate rows with the same id; if their texts
 aren't linked their components may differ. Repeated rows have equal results. Null ids don't count
 for the smallest id of a component; one of null ids only has a null component, and is kept. An
-empty table gives an empty table. Other input columns aren't needed and are dropped by ``cluster``;
-``keep_first`` returns them, for one row of each component: the first by id, nulls last, then by the
-hash of the text. Of rows with an empty set it keeps one for each id and text.
+empty table gives an empty table. Texts are compared byte by byte, also where they aren't UTF-8.
+Other input columns aren't needed and are dropped by ``cluster``; ``keep_first`` returns them, for
+one row of each component: the first by id, nulls last, then by the hash of the text. Of rows with
+an empty set it keeps one for each id and text.
 """
 
 from __future__ import annotations
@@ -37,7 +39,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rulestream.llm.common import byte_texts, cut, row_key, type_of
+from rulestream.llm.common import byte_texts, col, cut, free, text_hash, type_of
 from rulestream.llm.components import components
 
 SHINGLE, PERCENT = 5, 75
@@ -47,6 +49,8 @@ MISS = 1e-6
 BROADCAST_NODES = 500_000
 BLOCK = 512
 BLOCK_SHINGLES = 1 << 20
+#: Keys of at least so many rows, and of at least this share of all rows, are joined by broadcast: their number is bounded by the share.
+HOT_ROWS, HOT_SHARE = 1_000, 20_000
 
 _M1, _M2, _M3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
 
@@ -138,12 +142,9 @@ def _bands(nodes: DataFrame) -> DataFrame:
         for batch in batches:
             for at in range(0, batch.num_rows, 1024):
                 part = batch.slice(at, 1024)
-                sig = np.frombuffer(b"".join(part.column("sig").to_pylist()), "<u4").reshape(-1, BANDS, ROWS).astype(np.uint64)
-                key = np.broadcast_to(np.arange(1, BANDS + 1, dtype=np.uint64), sig.shape[:2]).copy()
-                for r in range(ROWS):
-                    key = _mix(key * _M1 + sig[:, :, r])
+                key = band_keys(np.frombuffer(b"".join(part.column("sig").to_pylist()), "<u4"))
                 node = np.repeat(np.array(part.column("node")), BANDS)
-                yield pa.RecordBatch.from_pydict({"bucket": pa.array(key.reshape(-1).view(np.int64)), "node": pa.array(node, pa.int64())})
+                yield pa.RecordBatch.from_pydict({"bucket": pa.array(key.reshape(-1)), "node": pa.array(node, pa.int64())})
 
     return nodes.select("node", "sig").mapInArrow(run, "bucket bigint, node bigint")
 
@@ -202,13 +203,47 @@ def _first_round(members: DataFrame, nodes: DataFrame, sets: DataFrame) -> DataF
     return _both(left, sets, "found").mapInArrow(confirm, "a bigint, b bigint")
 
 
-def compare_block(node: np.ndarray, comp: np.ndarray, role: np.ndarray, found: list[np.ndarray], percent: int = PERCENT) -> list[tuple[int, int]]:
-    """Links between the components of a block: rows of role 1 against those of role 0.
+def band_keys(sig: np.ndarray) -> np.ndarray:
+    """The buckets of signatures, one for each band."""
+    sig = sig.reshape(-1, BANDS, ROWS).astype(np.uint64)
+    key = np.broadcast_to(np.arange(1, BANDS + 1, dtype=np.uint64), sig.shape[:2]).copy()
+    for r in range(ROWS):
+        key = _mix(key * _M1 + sig[:, :, r])
+    return key.view(np.int64)
+
+
+def partners(sig: np.ndarray, comp: np.ndarray, role: np.ndarray, bucket: int, least: list[tuple[int, int]]) -> np.ndarray:
+    """Of a block: which rows of role 1 (down) and of role 0 (across) must be compared exactly.
+
+    They are of different components, aren't pruned, and this bucket is the first that they share.
+    """
+    outer, members = np.flatnonzero(role == 1), np.flatnonzero(role == 0)
+    near = np.zeros((len(outer), len(members)), bool)
+    if not near.size:
+        return near
+    band = int(np.argmax(band_keys(sig[:1])[0] == bucket))
+    theirs = sig[members]
+    for row, i in enumerate(outer):
+        alive = np.flatnonzero(comp[members] != comp[i])
+        matches, done = np.zeros(len(alive), int), 0
+        for n, m in least:
+            matches += (theirs[alive, done:n] == sig[i, done:n]).sum(1)
+            go = matches >= m
+            alive, matches, done = alive[go], matches[go], n
+        if band:
+            before = (theirs[alive, : band * ROWS] == sig[i, : band * ROWS]).reshape(len(alive), band, ROWS)
+            alive = alive[~before.all(2).any(1)]
+        near[row, alive] = True
+    return near
+
+
+def compare_block(node: np.ndarray, comp: np.ndarray, role: np.ndarray, found: list[np.ndarray], near: np.ndarray, percent: int = PERCENT) -> list[tuple[int, int]]:
+    """Links between the components of a block: of the pairs in ``near``, as ``partners`` gives it.
 
     A link is left out if those before it in the block connect its components already.
     """
-    members = np.flatnonzero(role == 0)
-    if not len(members):
+    outer, members = np.flatnonzero(role == 1), np.flatnonzero(role == 0)
+    if not near.any():
         return []
     sizes = np.array([len(found[i]) for i in members])
     every, place = np.unique(np.concatenate([found[i] for i in members]), return_inverse=True)
@@ -221,13 +256,15 @@ def compare_block(node: np.ndarray, comp: np.ndarray, role: np.ndarray, found: l
         return x
 
     out = []
-    for i in np.flatnonzero(role == 1):
+    for i, wanted in zip(outer, near):
+        if not wanted.any():
+            continue
         mine = found[i]
         at = np.minimum(np.searchsorted(every, mine), len(every) - 1)
         mark = np.zeros(len(every), np.int32)
         mark[at[every[at] == mine]] = 1
         both = np.add.reduceat(mark[place], starts)
-        for k in np.flatnonzero((100 * both >= percent * (sizes + len(mine) - both)) & (both > 0)):
+        for k in np.flatnonzero(wanted & (100 * both >= percent * (sizes + len(mine) - both)) & (both > 0)):
             j = members[k]
             a, b = root(int(comp[i])), root(int(comp[j]))
             if a != b:
@@ -248,21 +285,48 @@ def _second_round(members: DataFrame, roots: DataFrame, nodes: DataFrame, sets:
     upto = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
     inner = rows.select("bucket", "node", "comp", F.lit(0).alias("role"), part(F.col("nm")).alias("mb"), upto(F.col("no")).alias("ob"))
     outer = rows.where("comp <> main").select("bucket", "node", "comp", F.lit(1).alias("role"), upto(F.col("nm")).alias("mb"), part(F.col("no")).alias("ob"))
-    laid = inner.unionByName(outer).join(sets, "node")
+    laid = inner.unionByName(outer).join(nodes.select("node", "sig"), "node")
+    least = least_matches()
+
+    def read(block: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        sig = np.frombuffer(b"".join(x.as_py() for x in block.column("sig")), "<u4").reshape(block.num_rows, -1)
+        comp, role = block.column("comp").to_numpy(), block.column("role").to_numpy()
+        return comp, role, partners(sig, comp, role, block.column("bucket")[0].as_py(), least)
+
+    def prune(block: pa.Table) -> pa.Table:
+        _, role, near = read(block)
+        kept = np.zeros(block.num_rows, bool)
+        kept[np.flatnonzero(role == 1)] = near.any(1)
+        kept[np.flatnonzero(role == 0)] = near.any(0)
+        return block.filter(pa.array(kept)).select(["bucket", "mb", "ob", "node", "comp", "role", "sig"])
 
     def compare(block: pa.Table) -> pa.Table:
-        node, comp, role = (block.column(c).to_numpy() for c in ("node", "comp", "role"))
-        links = compare_block(node, comp, role, [np.frombuffer(x.as_py(), np.uint64) for x in block.column("found")])
+        comp, role, near = read(block)
+        links = compare_block(block.column("node").to_numpy(), comp, role, [np.frombuffer(x.as_py(), np.uint64) for x in block.column("found")], near)
         return pa.table({"a": pa.array([a for a, _ in links], pa.int64()), "b": pa.array([b for _, b in links], pa.int64())})
 
-    return laid.groupBy("bucket", "mb", "ob").applyInArrow(compare, "a bigint, b bigint")
+    left = cut(laid.groupBy("bucket", "mb", "ob").applyInArrow(prune, "bucket bigint, mb int, ob int, node bigint, comp bigint, role int, sig binary"))
+    return left.join(sets, "node").groupBy("bucket", "mb", "ob").applyInArrow(compare, "a bigint, b bigint")
+
+
+def _join_each(left: DataFrame, right: DataFrame, key: str, total: int) -> DataFrame:
+    """``left`` with the row of ``right`` that has its key, whose ``rows`` tells how many rows of ``left`` have it.
+
+    What hot keys have is broadcast, so that the rows of none of them meet in a task.
+    """
+    hot = F.col("rows") >= max(HOT_ROWS, total // HOT_SHARE)
+    few, many = right.where(hot).drop("rows"), right.where(~hot).drop("rows")
+    if few.isEmpty():
+        return left.join(many, key)
+    few = F.broadcast(few)
+    return left.join(few, key).unionByName(left.join(few, key, "left_anti").join(many, key))
 
 
-def _clustered(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The rows of ``docs`` as described, and the nodes with the root of each; with ``_th`` also each node's first row."""
+def _clustered(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The rows of ``docs`` as described; the nodes with the root of each; and for each root its component, with the component's smallest id and, with ``_th``, its first row."""
     told = cut(_describe(docs))
     lead = [F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_th")).alias("lead")] if "_th" in docs.columns else []
-    nodes = told.where("n > 0").groupBy("digest").agg(F.min("doc_id").alias("doc"), F.first("n").alias("n"), F.first("sig").alias("sig"), *lead)
+    nodes = told.where("n > 0").groupBy("digest").agg(F.min("doc_id").alias("doc"), F.first("n").alias("n"), F.first("sig").alias("sig"), F.count(F.lit(1)).alias("copies"), *lead)
     nodes = cut(nodes.withColumn("node", F.monotonically_increasing_id()))
     bands = _bands(nodes)
     shared = bands.groupBy("bucket").agg(F.min("node").alias("first"), F.count(F.lit(1)).alias("c")).where("c > 1").select("bucket", "first")
@@ -277,23 +341,31 @@ def _clustered(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     over = more.join(roots.select(F.col("node").alias("a"), F.col("root").alias("ra")), "a", "left").join(roots.select(F.col("node").alias("b"), F.col("root").alias("rb")), "b", "left")
     top = components(over.select(F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b")))
     named = nodes.drop("n", "sig").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    return told, named.join(top.select(F.col("node").alias("root"), F.col("root").alias("_top")), "root", "left").withColumn("root", F.coalesce("_top", "root"))
+    # from here on a component is a row for each of its roots, so a large one is gathered where its rows lie
+    each = named.groupBy("root").agg(F.min("doc").alias("doc"), F.count(F.lit(1)).alias("rows"), *([F.min("lead").alias("lead")] if lead else []))
+    each = each.join(top.select(F.col("node").alias("root"), F.col("root").alias("_top")), "root", "left").withColumn("top", F.coalesce("_top", "root")).drop("_top")
+    return told, named, each
 
 
 def cluster(docs: DataFrame) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of every row of ``docs``."""
-    told, named = _clustered(docs.select("doc_id", "text"))
-    smallest = named.groupBy("root").agg(F.min("doc").alias("component_id"))
-    answer = named.join(smallest, "root").select("digest", "component_id")
-    joined = told.select("doc_id", F.col("n").alias("n_shingles"), "digest").join(answer, "digest", "left")
-    joined = joined.withColumn("component_id", F.coalesce("component_id", "doc_id"))
-    return joined.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+    told, named, each = _clustered(docs.select("doc_id", "text"))
+    total = told.count()
+    smallest = each.groupBy("top").agg(F.min("doc").alias("component_id"), F.count(F.lit(1)).alias("rows"))
+    answer = _join_each(each.select("root", "top", F.col("rows").alias("held")), cut(smallest), "top", total).select("root", "component_id", F.col("held").alias("rows"))
+    answer = _join_each(named.select("root", "digest", "copies"), cut(answer), "root", total).select("digest", "component_id", F.col("copies").alias("rows"))
+    joined = told.where("n > 0").select("doc_id", F.col("n").alias("n_shingles"), "digest")
+    joined = _join_each(joined, cut(answer), "digest", total).select("doc_id", "n_shingles", "component_id")
+    joined = joined.unionByName(told.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
+    return joined.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
 def keep_first(docs: DataFrame) -> DataFrame:
     """The first row of each component of ``docs``; of repeated rows, one."""
-    told, named = _clustered(row_key(docs.select("doc_id", "text")))
-    first = named.groupBy("root").agg(F.min("lead").alias("lead")).select("lead.doc_id", "lead._th")
-    kept = first.unionByName(told.where("n = 0").select("doc_id", "_th")).distinct().select(F.col("doc_id").alias("_d"), F.col("_th").alias("_t"))
-    keyed = row_key(docs)
-    return keyed.join(kept, keyed["doc_id"].eqNullSafe(kept["_d"]) & (keyed["_th"] == kept["_t"]), "left_semi").dropDuplicates(["doc_id", "_th"]).select(docs.columns)
+    told, _, each = _clustered(docs.select("doc_id", "text", text_hash().alias("_th")))
+    first = each.groupBy("top").agg(F.min("lead").alias("lead")).select("lead.doc_id", "lead._th")
+    th, d, t = free(docs, "_th", "_d", "_t")
+    kept = first.unionByName(told.where("n = 0").select("doc_id", "_th")).distinct().select(F.col("doc_id").alias(d), F.col("_th").alias(t))
+    keyed = docs.withColumn(th, text_hash())
+    same = keyed["doc_id"].eqNullSafe(kept[d]) & keyed[th].eqNullSafe(kept[t])
+    return keyed.join(kept, same, "left_semi").dropDuplicates(["doc_id", th]).select(*map(col, docs.columns))
