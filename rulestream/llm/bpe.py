@@ -1,19 +1,19 @@
 """Byte-level BPE by overlapping chunks.
 
-Texts up to ``chunk_chars`` are encoded as one piece of work. Longer ones are cut into chunks that
-reach ``overlap_chars`` into both neighbours; the chunks go to different tasks, and each is
-pre-tokenised on its own. A chunk starts at an arbitrary place, so its first pre-tokens may be
-wrong until its boundaries fall in step with those of the text. Each chunk encodes the pre-tokens
-from its first boundary at or after its own start to its first boundary at or after the next
-chunk's start. Where the end of one chunk is the begin of the next, the two have fallen in step:
-from a true boundary on, the pre-tokeniser has one course only. A document whose chunks don't all
-meet (such as one endless word) is encoded in one piece instead. Decoding concatenates the bytes
-of the ids.
-
-Defined results: a null or empty text gives no ids. Rows are independent, so repeated rows give
-repeated results, and rows with a null doc_id are encoded as any other. An empty table gives an
-empty table. Input columns pass through; ``ids`` (little-endian unsigned 32-bit integers) and
-``n_tokens`` replace columns of the same name.
+A text is cut into chunks of ``chunk_chars`` that reach ``overlap_chars`` into both neighbours, and
+each chunk is pre-tokenised on its own. A chunk starts at an arbitrary place, so its first
+pre-tokens may be wrong until its boundaries fall in step with those of the text. Each chunk encodes
+the pre-tokens from its first boundary at or after its own start to its first boundary at or after
+the next chunk's start. Where the end of one chunk is the begin of the next, the two have fallen in
+step: from a true boundary on, the pre-tokeniser has one course only. A text whose chunks don't all
+meet (such as one endless word) is encoded in one piece instead. Decoding concatenates the bytes of
+the ids. The chunks of a text of more than ``spread_chars`` are as large as that and go to different
+tasks; those of others are encoded one after another where the text lies.
+
+Defined results: a null or empty text gives no ids. Bytes that aren't UTF-8 are encoded as U+FFFD.
+Rows are independent, so repeated rows give repeated results, and rows with a null doc_id are
+encoded as any other. An empty table gives an empty table. Input columns pass through; ``ids``
+(little-endian unsigned 32-bit integers) and ``n_tokens`` replace columns of the same name.
 """
 
 from __future__ import annotations
@@ -29,10 +29,11 @@ import tiktoken
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rulestream.llm.common import add_columns
+from rulestream.llm.common import add_columns, col, free, valid, without
 
-CHUNK_CHARS = 32_768
-OVERLAP_CHARS = 1_024
+CHUNK_CHARS = 4_096
+OVERLAP_CHARS = 256
+SPREAD_CHARS = 32_768
 
 
 class Vocabulary:
@@ -77,16 +78,31 @@ def encode_chunk(loaded, text: str, begin: int, end: int, last: bool) -> tuple[i
     return first, stop, _pack(encoding.encode_ordinary(text[first:stop]))
 
 
-def encode(docs: DataFrame, vocabulary: Vocabulary, chunk_chars: int = CHUNK_CHARS, overlap_chars: int = OVERLAP_CHARS, decoded: str | None = None) -> DataFrame:
+def encode_text(loaded, text: str, size: int, overlap: int) -> bytes:
+    """The ids of a text, chunk by chunk; in one piece if the chunks don't meet."""
+    parts, reached, n = [], 0, len(text)
+    for begin in range(0, n if n > size else 0, size):
+        low, end = max(0, begin - overlap), min(begin + size, n)
+        first, stop, ids = encode_chunk(loaded, text[low : end + overlap], begin - low, end - low, end == n)
+        if first < 0 or low + first != reached:
+            parts = []
+            break
+        parts.append(ids)
+        reached = low + stop
+    return b"".join(parts) if parts else _pack(loaded[0].encode_ordinary(text))
+
+
+def encode(docs: DataFrame, vocabulary: Vocabulary, chunk_chars: int = CHUNK_CHARS, overlap_chars: int = OVERLAP_CHARS, spread_chars: int = SPREAD_CHARS, decoded: str | None = None) -> DataFrame:
     """``docs`` with ``ids`` and ``n_tokens``, and with the decoded bytes if a name is given for them.
 
     A column ``decoded`` is made from the ids, in the same pass over the text.
     """
     shared = docs.sparkSession.sparkContext.broadcast((vocabulary.data, vocabulary.pattern))
-    docs = docs.drop("ids", "n_tokens", *[decoded] * bool(decoded))
-    is_long = F.coalesce(F.length("text"), F.lit(0)) > chunk_chars
-    short = add_columns(docs.where(~is_long), _fields(decoded), "text", lambda: _whole(shared.value, bool(decoded)))
-    long = _encode_long(docs.where(is_long), shared, chunk_chars, overlap_chars, decoded)
+    docs = without(docs, "ids", "n_tokens", *[decoded] * bool(decoded))
+    is_long = F.coalesce(F.length(valid()), F.lit(0)) > spread_chars
+    work = lambda: _whole(shared.value, chunk_chars, overlap_chars, bool(decoded))
+    short = add_columns(docs.where(~is_long), _fields(decoded), valid(), work)
+    long = _encode_long(docs.where(is_long), shared, spread_chars, overlap_chars, decoded, work)
     return short.unionByName(long).withColumn("n_tokens", F.expr("octet_length(ids) div 4"))
 
 
@@ -94,26 +110,31 @@ def _fields(decoded: str | None) -> str:
     return "ids binary" + (f", `{decoded}` binary" if decoded else "")
 
 
-def _whole(value, back: bool):
-    """Ids of whole texts, and their bytes again if ``back``."""
-    encoding, _, tokens = _load(*value)
+def _whole(value, size: int, overlap: int, back: bool):
+    """Ids of texts that stay in one task, and their bytes again if ``back``."""
+    loaded = _load(*value)
 
     def work(texts: list[bytes | None]) -> list[list]:
-        ids = [encoding.encode_ordinary(t.decode()) if t else [] for t in texts]
-        packed = [_pack(x) for x in ids]
-        return [packed, [b"".join(map(tokens.__getitem__, x)) for x in ids]] if back else [packed]
+        packed = [encode_text(loaded, t.decode(), size, overlap) if t else b"" for t in texts]
+        return [packed, [_unpack(loaded, x) for x in packed]] if back else [packed]
 
     return work
 
 
-def _encode_long(docs: DataFrame, shared, size: int, overlap: int, decoded: str | None) -> DataFrame:
-    """The long texts: chunks over all tasks, joined up again by the row's content."""
-    keyed = docs.withColumn("_key", F.sha2(F.col("text"), 256))
+def _unpack(loaded, ids: bytes) -> bytes:
+    return b"".join(map(loaded[2].__getitem__, np.frombuffer(ids, "<u4").tolist()))
+
+
+def _encode_long(docs: DataFrame, shared, size: int, overlap: int, decoded: str | None, whole) -> DataFrame:
+    """The long texts: chunks over all tasks, joined up again by the text's digest."""
+    key, found, back, alone = free(docs, "_key", "_ids", "_back", "_alone")
+    keyed = docs.withColumn(key, F.sha2(valid(), 256))
     starts = F.sequence(F.lit(0), F.ceil(F.length("text") / size).cast("int") - 1)
     begin = F.col("k") * size
     low = F.greatest(begin - overlap, F.lit(0))
     end = F.least(begin + size, F.col("n"))
-    pieces = keyed.select("_key", "text").dropDuplicates(["_key"]).select("_key", "text", F.length("text").alias("n"), F.explode(starts).alias("k"))
+    texts = keyed.select(F.col(key).alias("_key"), valid().alias("text")).dropDuplicates(["_key"])
+    pieces = texts.select("_key", "text", F.length("text").alias("n"), F.explode(starts).alias("k"))
     piece = F.substring("text", low + 1, F.least(end + overlap, F.col("n")) - low)
     pieces = pieces.select("_key", "k", low.alias("low"), (begin - low).alias("begin"), (end - low).alias("end"), (end == F.col("n")).alias("last"), piece.alias("text")).repartition("_key", "k")
 
@@ -124,21 +145,21 @@ def _encode_long(docs: DataFrame, shared, size: int, overlap: int, decoded: str
                 part = batch.slice(at, 1)
                 low, begin, end, last, text = (part.column(c)[0].as_py() for c in ("low", "begin", "end", "last", "text"))
                 first, stop, ids = encode_chunk(loaded, text, begin, end, last)
-                found = (low + first if first >= 0 else -1, low + stop if stop >= 0 else -2)
-                back = b"".join(map(loaded[2].__getitem__, np.frombuffer(ids, "<u4").tolist())) if decoded else b""
-                yield pa.RecordBatch.from_pydict({"_key": part.column("_key"), "k": part.column("k"), "first": pa.array(found[:1], pa.int64()), "stop": pa.array(found[1:], pa.int64()), "ids": pa.array([ids], pa.binary()), "back": pa.array([back], pa.binary())})
+                places = (low + first if first >= 0 else -1, low + stop if stop >= 0 else -2)
+                again = _unpack(loaded, ids) if decoded else b""
+                yield pa.RecordBatch.from_pydict({"_key": part.column("_key"), "k": part.column("k"), "first": pa.array(places[:1], pa.int64()), "stop": pa.array(places[1:], pa.int64()), "ids": pa.array([ids], pa.binary()), "back": pa.array([again], pa.binary())})
 
     coded = pieces.mapInArrow(run, "_key string, k int, first bigint, stop bigint, ids binary, back binary")
     parts = coded.groupBy("_key").agg(
         F.array_sort(F.collect_list(F.struct("k", "first", "stop"))).alias("p"),
-        F.expr("listagg(ids, X'') WITHIN GROUP (ORDER BY k)").alias("_ids"),
-        F.expr("listagg(back, X'') WITHIN GROUP (ORDER BY k)").alias("_back"),
+        F.expr("listagg(ids, X'') WITHIN GROUP (ORDER BY k)").alias(found),
+        F.expr("listagg(back, X'') WITHIN GROUP (ORDER BY k)").alias(back),
     )
     met = F.forall(F.sequence(F.lit(0), F.size("p") - 1), lambda i: (F.get("p", i)["first"] >= 0) & ((i == 0) | (F.get("p", i)["first"] == F.get("p", i - 1)["stop"])))
     # what didn't meet is encoded in one piece
-    stitched = keyed.join(parts.where(met).select("_key", "_ids", "_back"), "_key", "left").withColumn("_alone", F.when(F.col("_ids").isNull(), F.col("text"))).drop("_key")
-    made = add_columns(stitched, _fields(decoded), "_alone", lambda: _whole(shared.value, bool(decoded))).withColumn("ids", F.coalesce("_ids", "ids"))
-    return (made.withColumn(decoded, F.coalesce("_back", decoded)) if decoded else made).drop("_ids", "_back", "_alone")
+    stitched = keyed.join(parts.where(met).select(F.col("_key").alias(key), found, back), key, "left").withColumn(alone, F.when(F.col(found).isNull(), valid())).drop(key)
+    made = add_columns(stitched, _fields(decoded), alone, whole).withColumn("ids", F.coalesce(found, "ids"))
+    return (made.withColumn(decoded, F.coalesce(F.col(back), col(decoded))) if decoded else made).drop(found, back, alone)
 
 
 def decode(coded: DataFrame, vocabulary: Vocabulary, ids: str = "ids", into: str = "decoded") -> DataFrame:
@@ -146,8 +167,8 @@ def decode(coded: DataFrame, vocabulary: Vocabulary, ids: str = "ids", into: str
     shared = coded.sparkSession.sparkContext.broadcast((vocabulary.data, vocabulary.pattern))
 
     def fill():
-        tokens = _load(*shared.value)[2]
-        return lambda values: [[b"".join(map(tokens.__getitem__, np.frombuffer(x or b"", "<u4").tolist())) for x in values]]
+        loaded = _load(*shared.value)
+        return lambda values: [[_unpack(loaded, x or b"") for x in values]]
 
     return add_columns(coded, f"`{into}` binary", ids, fill)
 
