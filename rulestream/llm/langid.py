@@ -7,25 +7,28 @@ winning family one machine for each pair of languages votes. Whole texts are sco
 of bounded size.
 
 The machines are fitted on at most about ``per_lang`` documents of each language, with the share
-that the hash of the id decides. Languages outside the table of families are families of their own.
+that the hash of the id decides; their features, not their texts, come to the driver. Languages
+outside the table of families are families of their own.
 
-Defined results: a null text and one without a letter are ``und`` with score 0, and so is every
-text if nothing could be learned. Ties go to the language or family that is first by name. Repeated
+Defined results: a null text and one without a letter (a numeral sign is none) are ``und`` with
+score 0, and so is every text if nothing could be learned. Bytes that aren't UTF-8 count as U+FFFD.
+Nothing is learned from rows with a null id, and of rows that share an id and a language the first
+by the hash of its text counts. Ties go to the language or family that is first by name. Repeated
 rows get equal results. An empty table gives an empty table. Input columns pass through;
 ``lang_pred`` and ``score`` replace columns of the same name.
 """
 
 from __future__ import annotations
 
-import re
 from dataclasses import dataclass, field
 from itertools import combinations
 
 import numpy as np
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rulestream.llm.common import add_columns, held_out
+from rulestream.llm.common import add_columns, held_out, valid
 
 # Language families by ISO 639-1 code.
 FAMILIES = {
@@ -42,7 +45,7 @@ ORDERS = (2, 3, 4)
 PLACES = 1 << 16
 SEGMENT = 1 << 20
 SCALE = 40.0
-_LETTER = re.compile(r"[^\W\d_]")
+_LETTER = regex.compile(r"\p{L}")
 _PLAIN = np.array([c if c >= 128 or chr(c).isalpha() else 32 for c in range(256)], np.uint8)
 
 
@@ -140,13 +143,16 @@ def _sigmoid(x: float) -> float:
 
 def fit(rows: list[tuple[str, str]]) -> Model:
     """A model from (language, text) rows."""
-    rows = [(lang, text) for lang, text in rows if lang and text and _LETTER.search(text)]
-    langs = sorted({lang for lang, _ in rows})
+    return fit_features([(lang, _sparse(text)) for lang, text in rows if lang and text and _LETTER.search(text)])
+
+
+def fit_features(vectors: list[tuple[str, tuple[np.ndarray, np.ndarray]]]) -> Model:
+    """A model from languages and the features of their texts."""
+    langs = sorted({lang for lang, _ in vectors})
     families: dict[str, list[str]] = {}
     for lang in langs:
         families.setdefault(FAMILY_OF.get(lang, lang), []).append(lang)
     families = dict(sorted(families.items()))
-    vectors = [(lang, _sparse(text)) for lang, text in rows]
     side = lambda inside, among: fit_machine([(x, 1 if lang in inside else -1) for lang, x in vectors if lang in among])
     by_family = {f: side(ls, langs) for f, ls in families.items()} if len(families) > 1 else {}
     by_pair = {(a, b): side([a], [a, b]) for ls in families.values() for a, b in combinations(ls, 2)}
@@ -155,12 +161,19 @@ def fit(rows: list[tuple[str, str]]) -> Model:
 
 def train(docs: DataFrame, parts: int = 3, part: int = 1, per_lang: int = 600) -> Model:
     """A model from documents with a language that aren't held out."""
-    rows = docs.select("doc_id", "lang", "text").where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id"), parts, part))
+    rows = docs.select("doc_id", "lang", valid().alias("text")).where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}") & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"), parts, part))
     share = F.lit(0.0)
     for r in rows.groupBy("lang").count().collect():
         share = F.when(F.col("lang") == r["lang"], F.lit(min(1.0, per_lang / r["count"]))).otherwise(share)
-    chosen = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < share * (1 << 20)).collect()
-    return fit([(r["lang"], r["text"]) for r in sorted(chosen, key=lambda r: (str(r["doc_id"]), r["text"]))])
+    chosen = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < share * (1 << 20)).groupBy("doc_id", "lang").agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text"))
+
+    def features(texts: list[bytes]) -> list[list]:
+        found = [_sparse(t.decode()) for t in texts]
+        return [[index.astype("<u4").tobytes() for index, _ in found], [value.astype("<f4").tobytes() for _, value in found]]
+
+    told = add_columns(chosen, "places binary, shares binary", "text", lambda: features).select("doc_id", "lang", "places", "shares").collect()
+    told = sorted(told, key=lambda r: (str(r["doc_id"]), r["lang"]))
+    return fit_features([(r["lang"], (np.frombuffer(r["places"], "<u4").astype(np.int64), np.frombuffer(r["shares"], "<f4"))) for r in told])
 
 
 def identify(docs: DataFrame, model: Model) -> DataFrame:
@@ -169,6 +182,6 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
 
     def fill():
         m = shared.value
-        return lambda texts: [list(x) for x in zip(*(m.predict(t.decode() if t else None) for t in texts))] or [[], []]
+        return lambda texts: [list(x) for x in zip(*(m.predict(t.decode("utf-8", "replace") if t else None) for t in texts))] or [[], []]
 
     return add_columns(docs, "lang_pred string, score double", "text", fill)
