@@ -1,7 +1,10 @@
 """Encoding against the library it must agree with, archive round trips, and shard tables against a plain version."""
 
 import base64
+import gzip
+import hashlib
 import random
+import re
 from collections import Counter
 
 import numpy as np
@@ -29,7 +32,7 @@ def test_chunks_as_the_library(spark, vocabulary, library):
     texts = [None, "", "   ", "x" * 3000, " " * 3000, "ab " * 1500] + ["".join(rng.choice(parts) for _ in range(rng.randint(1, 1500))) for _ in range(120)]
     rows = [(i, t, "keep") for i, t in enumerate(texts)] + [(3, "x" * 3000, "twice"), (None, "abc  d " * 500, "null")]
     frame = spark.createDataFrame(rows, "doc_id long, text string, ids string")
-    got = bpe.encode(frame, vocabulary, chunk_chars=200, overlap_chars=40, decoded="back").collect()
+    got = bpe.encode(frame, vocabulary, chunk_chars=100, overlap_chars=40, spread_chars=400, decoded="back").collect()
     assert len(got) == len(rows)
     for r in got:
         want = library.encode_ordinary(r["text"] or "")
@@ -40,8 +43,6 @@ def test_chunks_as_the_library(spark, vocabulary, library):
 
 
 def test_query_on_the_table(spark, sf_dir, library):
-    import hashlib
-
     from rulestream.llm.queries import QUERIES
 
     texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
@@ -53,24 +54,55 @@ def test_query_on_the_table(spark, sf_dir, library):
 PAGES = "page_id long, url string, html string, payload string"
 
 
-def test_archive(spark, tmp_path):
+def parse(data):
+    """The records of an uncompressed archive file, by the letter of the format: (fields, block)."""
+    out, at = [], 0
+    while at < len(data):
+        stop = data.index(b"\r\n\r\n", at)
+        version, *lines = data[at:stop].decode().split("\r\n")
+        assert version == "WARC/1.1"
+        fields = dict(x.split(": ", 1) for x in lines)
+        assert len(fields) == len(lines) and {"WARC-Type", "WARC-Record-ID", "WARC-Date", "WARC-Target-URI", "Content-Length"} <= set(fields)
+        size = int(fields["Content-Length"])
+        block = data[stop + 4 : stop + 4 + size]
+        assert data[stop + 4 + size : stop + 8 + size] == b"\r\n\r\n"
+        assert fields["WARC-Block-Digest"] == "sha256:" + hashlib.sha256(block).hexdigest()
+        assert re.fullmatch(r"\d{4}-\d\d-\d\dT\d\d:\d\d:\d\dZ", fields["WARC-Date"]) and re.fullmatch(r"<urn:[^\s<>]+>", fields["WARC-Record-ID"])
+        out.append((fields, block))
+        at = stop + 8 + size
+    return out
+
+
+@pytest.mark.parametrize("limit", [warc.BROADCAST_COPIES, 0])
+def test_archive(spark, tmp_path, limit):
     big = "é" * 600
     rows = [(1, "http://a/\r\nX: y", big, "p"), (2, "http://b", big, None), (9, None, big, None), (3, "u", None, None), (4, "u", "", None), (5, "u", "small", None), (6, "u", "small", None), (None, "u", big, None), (9, "v", big, None), (7, "u", "WARC/1.1\r\n\r\n" * 100, None)]
     pages = spark.createDataFrame(rows, PAGES)
-    archive = warc.write_archive(pages, warc.new_archive(spark))
+    archive = warc.write_archive(pages, warc.new_archive(spark), broadcast_copies=limit)
     read = warc.read_archive(spark, archive)
     assert spark.read.parquet(archive.payloads).count() == 4 and read.count() == len(rows)
-    told = sorted(map(tuple, warc.describe(read, "bigint").select("id", "payload_bytes", "record_type", "refers_to").collect()), key=str)
+    told = sorted(map(tuple, warc.describe(warc.records(read), "bigint").select("id", "payload_bytes", "record_type", "refers_to").collect()), key=str)
     assert told == sorted([(1, 1200, "revisit", 9), (2, 1200, "revisit", 9), (9, 1200, "response", None), (9, 1200, "response", None), (3, 0, "response", None), (4, 0, "response", None), (5, 5, "response", None), (6, 5, "response", None), (None, 1200, "response", None), (7, 1200, "response", None)], key=str)
-    for r in warc.records(read).collect():
-        head, _, rest = bytes(r["record"]).partition(b"\r\n\r\n")
-        said = dict(x.split(": ", 1) for x in head.decode().split("\r\n")[1:])
-        assert rest.endswith(b"\r\n\r\n") and len(rest) - 4 == int(said["Content-Length"]) and said["WARC-Payload-Digest"] == "sha1:" + r["payload_digest"]
-        assert rest[:-4] == (b"" if said["WARC-Type"] == "revisit" else bytes(r["payload"]))
+    made = sorted(bytes(r["record"]) for r in warc.records(read).collect())
     warc.export_warc(read, str(tmp_path / "w"))
-    text = "".join(r[0] for r in spark.read.option("wholetext", True).text(str(tmp_path / "w")).collect())
-    assert text.count("WARC-Record-ID") == len(rows)
+    files = [gzip.decompress(p.read_bytes()) for p in sorted((tmp_path / "w").glob("*.gz"))]
+    found = [x for f in files for x in parse(f)]
+    assert sorted(b"".join(files)) == sorted(b"".join(made)) and sorted(x for m in made for x in map(str, parse(m))) == sorted(map(str, found))
+    assert len({f["WARC-Record-ID"] for f, _ in found}) == len(rows)
+    payloads = sorted((t or "").encode() for _, _, t, _ in rows)
+    responses = {f["WARC-Record-ID"]: b for f, b in found if f["WARC-Type"] == "response"}
+    assert sorted(b or responses.get(f.get("WARC-Refers-To"), b"") for f, b in found) == payloads
+    assert all(b == b"" for f, b in found if f["WARC-Type"] == "revisit")
+    assert {f["WARC-Target-URI"] for f, _ in found} == {"http://a/%0D%0AX:%20y", "http://b", "about:blank", "u", "v"}
     assert warc.round_trip(pages.limit(0)).count() == 0
+    archive.delete(spark)
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        spark.read.parquet(archive.payloads)
+
+
+def test_text_ids(spark):
+    pages = spark.createDataFrame([("a:b >", "u", "x" * 2000), ("ä", "u", "x" * 2000), ("", "u", "y")], "page_id string, url string, html string")
+    assert sorted(map(tuple, warc.round_trip(pages).select("id", "record_type", "refers_to").collect()), key=str) == sorted([("a:b >", "revisit", "ä"), ("ä", "response", None), (None, "response", None)], key=str)
 
 
 def test_a_changed_payload_is_found(spark):
@@ -112,8 +144,6 @@ def test_shard_tables():
 
 
 def test_placement(spark, sf_dir):
-    import hashlib
-
     from rulestream.llm.queries import QUERIES, SHARDS
 
     owners = sharding.fill_table(SHARDS)

@@ -48,31 +48,62 @@ def test_toxicity_never_sees_held_out_labels(spark):
     docs = spark.createDataFrame([(i, t) for i, _, t in rows], "doc_id long, text string")
     flipped = [(i, 1 - k if zlib.crc32(str(i).encode()) % 5 == 0 else k) for i, k, _ in rows]
     a, b = (toxicity.train(docs, spark.createDataFrame(x, "doc_id long, toxic int")) for x in ([(i, k) for i, k, _ in rows], flipped))
-    assert np.array_equal(a.weights, b.weights) and a.words == b.words
+    assert np.array_equal(a.weights, b.weights) and a.models == b.models
+
+
+def brute_models(rows, corpus, rare):
+    """Two Kneser-Ney models by hand: {word: log of toxic over ordinary}, and what all other words have."""
+    said = lambda t: [w for w in "".join(c if c.isalpha() else " " for c in t.lower()).split(" ") if w]
+    before = [{}, {}]
+    for k, t in rows:
+        for line in t.split("\n"):
+            for a, w in zip(["", *said(line)], said(line)):
+                before[k].setdefault(w, set()).add(a)
+    total = [sum(map(len, b.values())) for b in before]
+    words = [w for t in corpus for w in said(t)]
+    kept = [{w: max(len(v) - rare, 0) / n for w, v in b.items()} for b, n in zip(before, total)]
+    back = [1 - sum(k.values()) for k in kept]
+    chance = lambda k, w: kept[k].get(w, 0) + back[k] * words.count(w) / len(words)
+    found = {w: np.log(chance(1, w) / chance(0, w)) for b in before for w in b if max(len(x.get(w, ())) for x in before) > rare}
+    return found, np.log(back[1] / back[0])
+
+
+def test_models_as_brute_force(spark):
+    rows = toxic_rows(random.Random(9), 90)
+    rows = [(i, k, t[:60] + "\n" + t[60:] + " Éa 12 b-c") for i, k, t in rows] + [(1000, 1, "same line"), (1001, 0, "other line")]
+    docs = spark.createDataFrame([(i, t) for i, _, t in rows] + [(5000, "unlabelled foulword text"), (None, None)], "doc_id long, text string")
+    model = toxicity.train(docs, spark.createDataFrame([(i, k) for i, k, _ in rows], "doc_id long, toxic int"))
+    mine = [(k, t) for i, k, t in rows if zlib.crc32(str(i).encode()) % 5]
+    found, unknown = brute_models(mine, [t for _, _, t in rows] + ["unlabelled foulword text"], toxicity.RARE)
+    assert model.models.words.keys() == found.keys() and len(found) > 20
+    assert all(model.models.words[w] == pytest.approx(v, abs=1e-9) for w, v in found.items()) and model.models.unknown == pytest.approx(unknown, abs=1e-9)
+    text = mine[0][1]
+    each = [found.get(w, unknown) for w in toxicity.tokens(text)]
+    best = [max(sum(each[i : i + n]) for i in range(max(1, len(each) - n + 1))) / n for n in toxicity.SPANS]
+    assert np.allclose(model.models.differences(text), [np.mean(each), *best])
 
 
 def test_toxicity_of_odd_rows(spark):
     docs = spark.createDataFrame(ODD, DOCS)
     rows = toxic_rows(random.Random(3), 80)
-    model = toxicity.fit([(k, t) for _, k, t in rows], lambda names: ({n: 5 for n in names}, 1000), 0.25)
+    model = toxicity.train(spark.createDataFrame([(i, t) for i, _, t in rows], "doc_id long, text string"), spark.createDataFrame([(i, k) for i, k, _ in rows], "doc_id long, toxic int"))
     got = toxicity.score_documents(docs, model).collect()
     assert len(got) == len(ODD) and all(0 <= r["score"] <= 1 for r in got)
-    assert {r["score"] for r in got if r["doc_id"] in (1, 2, 3, 4)} == {0.25}
+    assert {r["score"] for r in got if r["doc_id"] in (1, 2, 3, 4)} == {model.prior}
     none = toxicity.train(docs, spark.createDataFrame([], "doc_id long, toxic int"))
     assert {r["score"] for r in toxicity.score_documents(docs, none).collect()} == {0.0}
     assert toxicity.score_documents(docs.limit(0), model).count() == 0
 
 
-def test_probabilities_add_up():
-    rows = toxic_rows(random.Random(4), 60)
-    model = toxicity.fit([(k, t) for _, k, t in rows], lambda names: ({n: 3 for n in names}, 5000), 0.3)
-    for part in (model.toxic, model.ordinary):
-        assert part.unigram.sum() == pytest.approx(1, abs=1e-6) and (part.unigram > 0).all()
-    n = len(model.words) + 1
-    for column, part in ((0, model.toxic), (1, model.ordinary)):
-        kept = np.zeros(n)
-        np.add.at(kept, model.keys // n, model.gain[:, column])
-        assert np.allclose(kept + part.backoff, 1, atol=1e-6)
+def test_toxicity_on_the_table(spark):
+    d = "/root/testdata/sf0.1"
+    docs, labels = spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet")
+    model = toxicity.train(docs, labels)
+    told = {r["doc_id"]: r["toxic"] for r in labels.collect() if zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0}
+    got = toxicity.score_documents(docs.where(docs["doc_id"].isin(list(told))), model).collect()
+    found = sum(r["predicted"] for r in got if told[r["doc_id"]] == 1)
+    false = sum(r["predicted"] for r in got if told[r["doc_id"]] == 0)
+    assert found >= 0.85 * sum(told[r["doc_id"]] for r in got) and false <= 0.02 * len(got)
 
 
 # quality
@@ -226,8 +257,86 @@ def test_one_conflict_does_not_hide_the_rest(spark, limit):
 
 
 def test_tokens_and_kinds():
-    tokens, _, kind = decontaminate.Templates().tokens("The car went 5km. Then Bob, aged 7, ran 10 % of 3.5 miles\nSo did he | and Ann")
-    assert [(t.strip(decontaminate.MARKS), int(k)) for t, k in zip(tokens, kind) if k] == [("5", 1), ("km", 3), ("Bob", 2), ("7", 1), ("10", 1), ("", 3), ("3.5", 1), ("miles", 3), ("Ann", 2)]
+    text = decontaminate.Templates().read("The car went 5km. Then Bob, aged 7, ran 10 % of 3.5 miles\nSo did he | and Ann")
+    assert [(t.strip(decontaminate.MARKS), int(k)) for t, k in zip(text.tokens, text.kind) if k] == [("5", 1), ("km", 3), ("Bob", 2), ("7", 1), ("10", 1), ("", 3), ("3.5", 1), ("miles", 3), ("Ann", 2)]
+    text = decontaminate.Templates().read("Ann met Mary Ann Lee, Bob's twenty five or twenty-one owls, and Bob Bob. Bob fled.")
+    assert decontaminate.slots(text, 0, len(text.start)) == ["N:ann", "N:mary ann lee", "N:bob", "n:20 5", "n:20 1", "N:bob bob", "N:bob"]
+
+
+def plain_hits(docs, items, window=8, least=6):
+    """Documents that hold an item in other words and with other values, by comparing every place of one with every place of the other.
+
+    For texts of one form: single spaces, marks only after words, names inside sentences.
+    """
+    number = set(decontaminate.NUMBERS)
+
+    def read(text):
+        out, begin = [], True
+        for at, word in enumerate(text.split(" ")):
+            bare = word.strip(".,?")
+            kind = "n" if bare.isdigit() or bare in number else "N" if bare[:1].isupper() and not begin else ""
+            value = decontaminate.NUMBERS.get(bare, bare.lower())
+            begin = word[-1] in ".?"
+            if kind and out and out[-1][0] == kind and not out[-1][2] and (kind == "N" or bare in number):
+                out[-1] = (kind, out[-1][1] + " " + value, word[-1] in ".,?", out[-1][3])
+            else:
+                out.append((kind, value, word[-1] in ".,?", at))
+        return out, [w.strip(".,?").lower() for w in text.split(" ")]
+
+    hits = set()
+    for d, t in docs:
+        for i, u in items:
+            (a, la), (b, lb) = read(t), read(u)
+            there = {tuple(la[k : k + window]) for k in range(len(la) - window + 1)}
+            matched = {p for p in range(len(lb) - window + 1) if tuple(lb[p : p + window]) in there}
+            same = lambda x, y: x[0] == y[0] and (x[0] or x[1] == y[1])
+            for shift in range(-len(b), len(a)):
+                at = [p for p in range(len(b) - window + 1) if 0 <= p + shift <= len(a) - window and all(same(a[p + shift + j], b[p + j]) for j in range(window))]
+                at = [p for p in at if 4 <= sum(not k for k, *_ in b[p : p + window]) < window]
+                names = {(b[p + j][1], a[p + shift + j][1]) for p in at for j in range(window) if b[p + j][0] == "N"}
+                if len({x for x, _ in names}) == len({y for _, y in names}) == len(names):
+                    matched |= {b[p][3] for p in at}
+            if len(matched) >= min(least, (len(lb) - window + 1) / 2) > 0:
+                hits.add((d, i))
+    return hits
+
+
+def test_templates_as_brute_force(spark):
+    rng = random.Random(11)
+    people, sums = ["Eve", "Finn", "Mary Ann", "Bob", "Dirk Jan", "Ida"], ["3", "14", "five", "twenty one", "120", "two"]
+    items, docs = [], []
+    for i in range(8):
+        frame = [words(rng, 9) + " {a}", "and {b} " + words(rng, 3), "took {m} " + words(rng, 7), "from {a} " + words(rng, 6) + " {n} " + words(rng, 8) + "."]
+        fill = lambda a, b: " ".join(frame).format(a=a, b=b, m=rng.choice(sums), n=rng.choice(sums))
+        pair = rng.sample(people, 2)
+        items.append((i, "it " + fill(*pair)))
+        for k in range(4):
+            other = rng.sample(people, 2) if k < 3 else ["Bob", "Bob"]
+            docs.append((10 * i + k, words(rng, 20) + " " + fill(*other) + " " + words(rng, 20)))
+        docs.append((10 * i + 4, words(rng, 40)))
+    want = plain_hits(docs, items)
+    got = decontaminate.find_contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    assert {(r["doc_id"], r["item_id"]) for r in got.collect()} == want and len(want) >= 20
+
+
+def test_short_items_names_of_several_words_and_one_to_one_names(spark):
+    question = "Once {0} and {1} carried {2} baskets of plums over the hill to the market and sold them to a miller who gave {0} a coat."
+    items = [(1, "Yes"), (2, question.format("Eve", "Finn", "five"))]
+    docs = [(1, "yes it was so"), (2, question.format("Mary Ann", "Finn", "3")), (3, question.format("Bob", "Bob", "six")), (4, question.format("Ida", "Jo", "twenty two")), (5, "Yes")]
+    got = decontaminate.find_contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    found = {(r["doc_id"], r["item_id"]) for r in got.collect()}
+    assert found - {(3, 2)} == {(2, 2), (4, 2)}
+    # with other values in every window, two names that stand for one say that it is another text
+    close = "At noon {0} lent {1} the red cart, then {0} told {1} of the old well, and {1} gave {0} bread."
+    got = decontaminate.find_contaminated(spark.createDataFrame([(1, close.format("Bob", "Bob")), (2, close.format("Ida", "Jo"))], "doc_id long, text string"), spark.createDataFrame([(1, close.format("Eve", "Finn"))], "item_id long, text string"))
+    assert [r["doc_id"] for r in got.collect()] == [2]
+
+
+def test_of_two_texts_with_one_id_the_closer_one_is_reported(spark):
+    item = " ".join(f"w{chr(97 + i)}" for i in range(24))
+    docs = spark.createDataFrame([(1, item), (1, item[:45]), (None, item), (None, item[:45])], "doc_id long, text string")
+    got = decontaminate.find_contaminated(docs, spark.createDataFrame([(7, item)], "item_id long, text string")).collect()
+    assert sorted((str(r["doc_id"]), r["n_matched"]) for r in got) == [("1", 17), ("None", 17)]
 
 
 def test_nothing_to_compare(spark):

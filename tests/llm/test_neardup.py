@@ -7,7 +7,7 @@ import pytest
 
 from rulestream.llm import neardup
 from rulestream.llm.components import components
-from rulestream.llm.neardup import cluster, compare_block, keep_first, least_matches, linked, shingles, signature, survivors
+from rulestream.llm.neardup import BANDS, ROWS, band_keys, cluster, compare_block, keep_first, least_matches, linked, partners, shingles, signature, survivors
 
 SCHEMA = "doc_id long, text string"
 
@@ -115,8 +115,8 @@ def test_block_links_connect_what_all_pairs_would():
     rng = random.Random(3)
     found = [shingles(t.encode()) for t in family(rng, 25, 10)]
     n = len(found)
-    node, comp = np.arange(n).repeat(2), np.arange(n).repeat(2)
-    links = compare_block(node, comp, np.tile([0, 1], n), [f for f in found for _ in (0, 1)])
+    node, comp, role = np.arange(n).repeat(2), np.arange(n).repeat(2), np.tile([0, 1], n)
+    links = compare_block(node, comp, role, [f for f in found for _ in (0, 1)], np.ones((n, n), bool))
     want = [(a, b) for a in range(n) for b in range(a) if linked(found[a], found[b])]
 
     def groups(edges):
@@ -137,3 +137,46 @@ def test_block_links_connect_what_all_pairs_would():
         return sorted(map(sorted, out.values()))
 
     assert groups(links) == groups(want) and len(links) < n
+
+
+def test_each_pair_is_compared_once_and_pruned_by_its_signature():
+    rng = random.Random(4)
+    sig = np.stack([signature(shingles(t.encode())) for t in family(rng, 40, 14)])
+    keys, least, n = band_keys(sig), least_matches(), 40
+    seen = {}
+    for bucket in {k for ks in keys.tolist() for k in ks}:
+        rows = np.flatnonzero((keys == bucket).any(1))
+        if len(rows) > 1:
+            near = partners(np.concatenate([sig[rows], sig[rows]]), np.tile(rows, 2), np.repeat([0, 1], len(rows)), bucket, least)
+            for i, j in zip(*np.nonzero(near)):
+                seen[rows[i], rows[j]] = seen.get((rows[i], rows[j]), 0) + 1
+    meet = {(i, j) for i in range(n) for j in range(n) if i != j and (sig[i].reshape(BANDS, ROWS) == sig[j].reshape(BANDS, ROWS)).all(1).any() and len(survivors(sig[i : i + 1], sig[j : j + 1], least))}
+    assert set(seen) == meet and set(seen.values()) == {1} and meet
+
+
+def test_hot_components_and_copies(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "HOT_ROWS", 3)
+    monkeypatch.setattr(neardup, "HOT_SHARE", 10**9)
+    rng = random.Random(6)
+    texts = family(rng, 25, 3) + ["one text again and again and again"] * 9 + family(rng, 2, 1) + [None, "x y"]
+    rows = list(enumerate(texts))
+    rng.shuffle(rows)
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in cluster(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert got == brute(rows)
+
+
+def test_kept_rows_by_brute_force_with_repeated_and_null_ids(spark):
+    """One row for each group of rows that texts link: the first by id (nulls last), then by hash; ids play no part in links."""
+    first, second = " ".join(f"a{i}" for i in range(30)), " ".join(f"b{i}" for i in range(30))
+    frame = spark.createDataFrame([(3, first), (7, first), (7, second), (None, first)], SCHEMA)
+    assert sorted(map(tuple, keep_first(frame).collect())) == [(3, first), (7, second)]
+    rng = random.Random(12)
+    texts = [t for k in range(4) for t in family(rng, 6, 2)] + [f"solo {k} " + " ".join(f"s{k}_{i}" for i in range(9)) for k in range(6)]
+    rows = [(rng.choice([None, 1, 2, 3, 4, 5]), rng.choice(texts)) for _ in range(60)]
+    groups = {t: c for t, (_, c) in zip(texts, (brute(list(enumerate(texts)))[i] for i in range(len(texts))))}
+    want = {}
+    for d, t in rows:
+        key = (d is None, d or 0)
+        want[groups[t]] = min(want.get(groups[t], (key, d)), (key, d))
+    got = keep_first(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert sorted((groups[r["text"]], str(r["doc_id"])) for r in got) == sorted((g, str(d)) for g, (_, d) in want.items())
