@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rulestream.llm.bpe import encode, public_vocabulary
-from rulestream.llm.common import ensure_checkpoint_dir, table
+from rulestream.llm.common import ensure_checkpoint_dir, remove, table
 from rulestream.llm.decontaminate import clean
 from rulestream.llm.linededup import dedup_lines
 from rulestream.llm.neardup import keep_first
@@ -65,10 +65,13 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; what each leaves lies in the shared folder."""
+    """All stages over ``documents``; what each leaves lies in the shared folder until the next one is done."""
     folder = f"{ensure_checkpoint_dir(spark)}/pipeline-{uuid.uuid4().hex}"
-    docs = table(spark, sf_dir, "documents")
+    docs, path = table(spark, sf_dir, "documents"), None
     for k, (name, stage) in enumerate(STAGES):
-        stage(spark, docs, sf_dir).write.parquet(path := f"{folder}/{k}-{name}")
+        before, path = path, f"{folder}/{k}-{name}"
+        stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
+        if before:
+            remove(spark, before)
     return docs
