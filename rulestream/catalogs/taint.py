@@ -76,14 +76,16 @@ SANITIZERS = {
     "go": _words("html.EscapeString( | url.QueryEscape( | template.HTMLEscapeString( | strconv.Atoi( | strconv.ParseInt( | uuid.Parse( | regexp.MustCompile("),
 }
 
-#: The assigned variable at the start of a line, in its first group that isn't empty.
-ASSIGNED = {
-    "python": r"^[ \t]*(\w+)[ \t]*=",
-    "javascript": r"^(?:(?:const|let|var)[ \t]+(\w+)[ \t]*=|[ \t]*(\w+)[ \t]*=)",
-    "java": r"^(?:\w+[ \t]+)?(\w+)[ \t]*=",
-    "php": r"^\$(\w+)[ \t]*=",
-    "go": r"^(?:var[ \t]+)?(\w+)[ \t]*(?::=|=)",
+#: What may stand between the begin of a line and the variable that it assigns, by language.
+BEFORE_NAME = {
+    "python": r"[ \t]*",
+    "javascript": r"(?:(?:const|let|var)[ \t]+|[ \t]*)",
+    "java": r"(?:\w+[ \t]+)?",
+    "php": r"\$",
+    "go": r"(?:var[ \t]+)?",
 }
+#: The assigned variable at the start of a line, in the first group.
+ASSIGNED = {language: rf"^{before}(\w+)[ \t]*{':?=' if language == 'go' else '='}" for language, before in BEFORE_NAME.items()}
 
 # What a kind of flaw is called in findings: category, CWE, OWASP, severity.
 FLAWS = {

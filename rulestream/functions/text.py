@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -29,29 +31,64 @@ def newlines(text: Column) -> Column:
     return F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit("")))
 
 
-def matches(content: Column, pattern: str) -> Column:
-    """array<struct<k, line_start, line_end, col_start, text>> of all matches of a literal pattern.
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often the body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+#: Matches are summed up by blocks of so many, so that n matches take n times this plus the square of the number of blocks.
+BLOCK = 128
+
+
+def _after(a: Column, b: Column) -> Column:
+    """What two texts one after the other have: newlines, and characters after the last one. Each is given as such a struct."""
+    return F.struct((a["lines"] + b["lines"]).alias("lines"), F.when(b["lines"] > 0, b["tail"]).otherwise(a["tail"] + b["tail"]).alias("tail"))
+
+
+def _extent(text: Column) -> Column:
+    return F.struct(newlines(text).alias("lines"), F.length(F.substring_index(text, "\n", -1)).alias("tail"))
+
+
+def _total(extents: Column) -> Column:
+    return F.aggregate(extents, F.struct(F.lit(0).alias("lines"), F.lit(0).alias("tail")), _after)
 
-    The text before match k is made of the gaps up to k and the matches before it, so its length and
-    its newlines are sums over these, and no offset function is needed. The pattern must not match
-    the empty string.
+
+def positions(found: Column, gaps: Column) -> Column:
+    """array<struct<k, line_start, line_end, col_start, text>> of a pattern's matches and of the texts between them.
+
+    The text before match k is made of the gaps up to k and the matches before it, so its newlines and the length of its
+    last line follow from those of its parts, and no offset function is needed: the parts are summed up by blocks, and
+    for each match only its own block is gone through. The pattern must not match the empty string.
     """
-    found = F.regexp_extract_all(content, F.lit(java(pattern)), F.lit(0))
-    gaps = F.split(content, java(pattern), -1)
 
-    def upto(measure, k: Column) -> Column:
-        total = lambda items, n: F.aggregate(F.slice(F.transform(items, measure), F.lit(1), n), F.lit(0), lambda a, x: a + x)
-        return total(gaps, k + 1) + total(found, k)
+    def before(parts: Column, blocks: Column, k: Column) -> Column:
+        at = F.floor(k / BLOCK).cast("int")
+        return _after(F.get(blocks, at), _total(F.slice(parts, at * BLOCK + 1, k - at * BLOCK)))
 
-    def one(text: Column, k: Column) -> Column:
-        line = upto(newlines, k) + 1
-        before = F.substring(content, F.lit(1), upto(F.length, k))
-        return F.struct(
-            k.alias("k"), line.alias("line_start"), (line + newlines(text)).alias("line_end"),
-            F.length(F.substring_index(before, "\n", -1)).alias("col_start"), text.alias("text"),
-        )
-
-    return F.transform(found, one)
+    def placed(found: Column, gaps: Column, parts: Column, blocks: Column) -> Column:
+        def one(text: Column, k: Column) -> Column:
+            here = _after(before(parts, blocks, k), _extent(F.get(gaps, k)))
+            return let(
+                here,
+                lambda h: F.struct(k.alias("k"), (h["lines"] + 1).alias("line_start"), (h["lines"] + 1 + newlines(text)).alias("line_end"), h["tail"].alias("col_start"), text.alias("text")),
+            )
+
+        return F.transform(found, one)
+
+    def summed(found: Column, gaps: Column, parts: Column) -> Column:
+        each = F.transform(F.sequence(F.lit(0), F.floor(F.size(parts) / BLOCK).cast("int")), lambda b: _total(F.slice(parts, b * BLOCK + 1, BLOCK)))
+        sums = lambda blocks: F.transform(blocks, lambda _, b: _total(F.slice(blocks, F.lit(1), b)))
+        return let(let(each, sums), lambda blocks: placed(found, gaps, parts, blocks))
+
+    def part(found: Column, gaps: Column) -> Column:
+        return let(F.transform(found, lambda text, k: _after(_extent(F.get(gaps, k)), _extent(text))), lambda parts: summed(found, gaps, parts))
+
+    return let(found, lambda f: let(gaps, lambda g: part(f, g)))
+
+
+def matches(content: Column, pattern: str) -> Column:
+    """``positions`` of all matches of a literal pattern."""
+    return positions(F.regexp_extract_all(content, F.lit(java(pattern)), F.lit(0)), F.split(content, java(pattern), -1))
 
 
 def snippet(lines: Column, first: Column, last: Column, around: int = 2) -> Column:

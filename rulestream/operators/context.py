@@ -10,8 +10,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rulestream.catalogs.checks import CHECKS, Check, Guard
-from rulestream.functions.text import java, snippet, split_lines
+from rulestream.functions.text import java, let, snippet, split_lines
 from rulestream.operators.parse import pack_of
+from rulestream.operators.rows import explode_findings, finding
 
 REACH = 20
 
@@ -78,9 +79,9 @@ def _with_act(lines: Column, act: str):
     return run
 
 
-def _hits(number: int, check: Check) -> Column:
-    """array<struct<check_ord, line, end, pat>> of a check over a file's lines."""
-    lines, path = F.col("_lines"), F.lower("path")
+def _hits(number: int, check: Check, lines: Column) -> Column:
+    """array<struct<check_ord, line, end, pat>> of a check over a file's lines; null where its path is left out."""
+    path = F.lower("path")
     if check.whole_file:
         found = F.when(_holds_nowhere(check, lines), F.array(_hit(number, F.lit(1), F.lit(1), 0)))
     else:
@@ -108,25 +109,30 @@ def _holds_nowhere(check: Check, lines: Column) -> Column:
 
 
 def context_hits(files: DataFrame, checks: Sequence[Check] = CHECKS) -> DataFrame:
-    """(path, _lines, check_ord, line, end, pat) of all checks."""
-    step = files.withColumn("_lines", split_lines(F.col("content")))
-    hits = F.flatten(F.array_compact(F.array(*(_hits(i, c) for i, c in enumerate(checks)))))
-    return step.select("path", "_lines", F.explode(hits).alias("h")).select("path", "_lines", "h.*")
+    """(path, check_ord, line, end, pat) of all checks."""
+    hits = let(split_lines(F.col("content")), lambda lines: F.flatten(F.array_compact(F.array(*(_hits(i, c, lines) for i, c in enumerate(checks))))))
+    return files.select("path", F.explode(hits).alias("h")).select("path", "h.*")
+
+
+def _row(check: Check, lines: Column):
+    """A hit as a finding; the snippet's span is the check's own."""
+
+    def run(h: Column) -> Column:
+        first = F.greatest(h["line"] + check.span[0], F.lit(1))
+        last = h["end"] if check.acts else F.least(h["line"] + check.span[1], F.size(lines))
+        return finding(
+            stage_ord=5, rule_id=check.id, title=check.title, category=check.category, severity=check.severity, line_start=h["line"], line_end=h["end"], snippet="" if check.whole_file else snippet(lines, first, last),
+            cwe_id=check.cwe, owasp=check.owasp, confidence=check.confidence, method="business_logic", ord_a=h["check_ord"], ord_b=h["line"] * 16 + h["pat"],
+        )
+
+    return run
+
+
+def context_rows(lines: Column, checks: Sequence[Check] = CHECKS) -> Column:
+    """A file's findings of the checks."""
+    return F.flatten(F.array_compact(F.array(*(F.transform(_hits(i, c, lines), _row(c, lines)) for i, c in enumerate(checks)))))
 
 
 def context_findings(files: DataFrame, checks: Sequence[Check] = CHECKS) -> DataFrame:
-    """The checks' findings; the snippet's span is the check's own."""
-    known = F.broadcast(
-        files.sparkSession.createDataFrame(
-            [(i, c.id, c.title, c.category, c.severity, c.cwe, c.owasp, c.confidence, *c.span, bool(c.acts), c.whole_file) for i, c in enumerate(checks)],
-            "check_ord int, rule_id string, title string, category string, severity string, cwe_id string, owasp string, confidence double, above int, below int, to_end boolean, bare boolean",
-        )
-    )
-    found = context_hits(files, checks).join(known, "check_ord")
-    first = F.greatest(F.col("line") + F.col("above"), F.lit(1))
-    last = F.when(F.col("to_end"), F.col("end")).otherwise(F.least(F.col("line") + F.col("below"), F.size("_lines")))
-    return found.select(
-        F.lit(5).alias("stage_ord"), "rule_id", "title", "category", "severity", F.col("path").alias("file_path"), F.col("line").alias("line_start"), F.col("end").alias("line_end"), F.lit(0).alias("col_start"),
-        F.when(F.col("bare"), "").otherwise(snippet(F.col("_lines"), first, last)).alias("snippet"), "cwe_id", "owasp", "confidence", F.lit("business_logic").alias("method"),
-        F.lit(None).cast("string").alias("source"), F.lit(None).cast("string").alias("sink"), F.col("check_ord").cast("bigint").alias("ord_a"), (F.col("line") * 16 + F.col("pat")).cast("bigint").alias("ord_b"),
-    )
+    """The checks' findings."""
+    return explode_findings(files, lambda lines: context_rows(lines, checks))

@@ -8,18 +8,31 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from rulestream.operators.findings import severity_score
+from rulestream.catalogs import dims
 
 BUDGET = {"deep": (75, 10), "bug_bounty": (50, 20)}
 REPLY = "is_valid boolean, confidence double, exploitability string, cvss_score double, cvss_vector string, attack_scenario string, proof_of_concept string, business_impact string, remediation string, secure_code_example string, references array<string>, bug_bounty_title string, estimated_bounty string, false_positive_reason string"
 
 
-def eligible(findings: DataFrame, profile: str, scan_key: str = "scan_id") -> DataFrame:
-    """``findings`` with ``asked``: the first few severe enough of each scan, in the order of the dedup."""
+def severity_score(severity: Column) -> Column:
+    return F.coalesce(F.element_at(F.create_map(*(F.lit(v) for s in dims.SEVERITIES for v in (s[0], s[1]))), severity), F.lit(0))
+
+
+def eligible(findings: DataFrame, profile: str, scan_key: str | None = "scan_id") -> DataFrame:
+    """``findings`` with ``asked``: the first few severe enough of each scan (of all, without a scan's key), by ``seq``, which names a finding in its scan.
+
+    The few are ranked from severe findings alone, with the limit taken in each task before the shuffle, and joined back.
+    """
     least, budget = BUDGET[profile]
-    enough = severity_score(F.col("severity")) >= least
-    nth = F.row_number().over(Window.partitionBy(scan_key, enough).orderBy("seq"))
-    return findings.withColumn("asked", enough & (nth <= budget))
+    key = [scan_key] if scan_key else []
+    severe = findings.where(severity_score(F.col("severity")) >= least).select(*key, "seq")
+    if scan_key:
+        nth = F.row_number().over(Window.partitionBy(scan_key).orderBy("seq"))
+        few = severe.withColumn("_n", nth).where(F.col("_n") <= budget).drop("_n")
+    else:
+        few = F.broadcast(severe.orderBy("seq").limit(budget))
+    asked = few.withColumn("asked", F.lit(True))
+    return findings.join(asked, [*key, "seq"], "left").withColumn("asked", F.coalesce("asked", F.lit(False)))
 
 
 def read_reply(raw: Column) -> Column:
@@ -65,7 +78,7 @@ def ask(findings: DataFrame, provider: Callable[[str], str] = offline) -> DataFr
     return findings.withColumn("_r", call(F.when(F.col("asked"), prompt))).withColumns({"raw": F.col("_r.raw"), "failed": F.col("_r.failed")}).drop("_r")
 
 
-def enrich(findings: DataFrame, profile: str, provider: Callable[[str], str] | None = offline, scan_key: str = "scan_id") -> DataFrame:
+def enrich(findings: DataFrame, profile: str, provider: Callable[[str], str] | None = offline, scan_key: str | None = "scan_id") -> DataFrame:
     """Findings with what the provider says; those it calls invalid are dropped. Without a provider nothing changes."""
     if provider is None:
         return findings.withColumn("ai_analyzed", F.lit(False))

@@ -2,39 +2,42 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rulestream.catalogs import dims
 from rulestream.functions.text import fingerprint
-from rulestream.operators.context import context_findings
-from rulestream.operators.dependencies import dependency_findings
-from rulestream.operators.rules import rule_findings
-from rulestream.operators.secrets import secret_findings
-from rulestream.operators.taint import taint_findings
+from rulestream.operators.context import context_rows
+from rulestream.operators.dependencies import advisory_findings, dependency_rows
+from rulestream.operators.enrich import BUDGET, enrich, offline, severity_score
+from rulestream.operators.rows import explode_findings
+from rulestream.operators.rules import rule_rows
+from rulestream.operators.secrets import secret_rows
+from rulestream.operators.taint import taint_rows
 
 PROFILES = ("quick", "standard", "deep", "bug_bounty")
 #: Order of the engines over a directory, and over a single text.
 DIRECTORY, SINGLE = (1, 2, 3, 4, 5), (1, 5, 2, 3, 4)
 
 
-def severity_score(severity: Column) -> Column:
-    return F.coalesce(F.element_at(F.create_map(*(F.lit(v) for s in dims.SEVERITIES for v in (s[0], s[1]))), severity), F.lit(0))
-
-
 def union(parts: list[DataFrame]) -> DataFrame:
     """All findings as a bag, with the order of flows where an engine has one."""
     with_order = [p if "flow_ord" in p.columns else p.withColumn("flow_ord", F.lit("")) for p in parts]
     return reduce(DataFrame.unionByName, with_order)
 
 
+#: The order in which engines, files and rules report.
+REPORTED = ("stage_ord", "file_path", "ord_a", "ord_b", "flow_ord", "line_end", "title")
+
+
 def dedup(findings: DataFrame) -> DataFrame:
-    """The first finding of each rule, file and line, in the order in which engines, files and rules report."""
+    """The first finding of each rule, file and line, in the order in which they are reported; each task keeps its own first ones before the shuffle."""
     named = findings.withColumn("fingerprint", fingerprint(F.col("rule_id"), F.col("file_path"), F.col("line_start")))
-    first = Window.partitionBy("fingerprint").orderBy("stage_ord", "file_path", "ord_a", "ord_b", "flow_ord", "line_end", "title")
-    return named.withColumn("_n", F.row_number().over(first)).where("_n = 1").drop("_n")
+    first = F.min_by(F.struct(*(c for c in named.columns if c != "fingerprint")), F.struct(*REPORTED))
+    return named.groupBy("fingerprint").agg(first.alias("f")).select("f.*", "fingerprint")
 
 
 def severity_counts(findings: DataFrame, by: list[str]) -> DataFrame:
@@ -52,19 +55,25 @@ def ranked(findings: DataFrame) -> DataFrame:
     return findings.orderBy(severity_score(F.col("severity")).desc(), "stage_ord", "file_path", "ord_a", "ord_b", "flow_ord", "line_start")
 
 
-def scan(files: DataFrame, profile: str = "standard", advisories: DataFrame | None = None, single: bool = False) -> DataFrame:
-    """The deduplicated findings of a scan.
+def scan(files: DataFrame, profile: str = "standard", advisories: DataFrame | None = None, single: bool = False, provider: Callable[[str], str] | None = offline) -> DataFrame:
+    """The deduplicated findings of a scan, from one pass over the files, and one over manifests if there are ``advisories``.
 
-    The quick profile has secrets and dependencies only, except for a single text. Enrichment, which
-    the deep profiles add, is ``operators.enrich``.
+    The quick profile has secrets and dependencies only, except for a single text. The deep and the
+    bug-bounty profile ask ``provider`` about the first few severe findings: after the dedup, or
+    before it for a single text. Without a provider they find what the standard profile does.
     """
     if profile not in PROFILES:
         raise ValueError(f"unknown profile: {profile}")
-    parts = [secret_findings(files), dependency_findings(files, advisories)]
+    engines = [secret_rows, dependency_rows]
     if profile != "quick" or single:
-        parts += [rule_findings(files), taint_findings(files), context_findings(files)]
-    found = union(parts)
+        engines += [rule_rows, taint_rows, context_rows]
+    found = explode_findings(files, *engines)
+    if advisories is not None:
+        found = found.unionByName(advisory_findings(files, advisories))
     if single:
         place = F.create_map(*(F.lit(v) for stage, at in zip(DIRECTORY, SINGLE) for v in (stage, at)))
         found = found.withColumn("stage_ord", F.element_at(place, F.col("stage_ord")))
-    return dedup(found)
+    if profile not in BUDGET or provider is None:
+        return dedup(found)
+    told = lambda rows: enrich(rows.withColumn("seq", F.struct(*REPORTED)), profile, provider, None).drop("seq")
+    return dedup(told(found)) if single else told(dedup(found))

@@ -9,16 +9,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rulestream.catalogs import dims
-from rulestream.functions.text import base_name, line_count, split_lines
+from rulestream.functions.text import base_name, line_count, positions, split_lines
 
-_W = r"[ \t]*"
-#: (function, class, import, strings) by language, of our own writing; others use javascript's.
+_DOUBLE, _SINGLE, _BACKTICK = r"\"[^\"\\\n]*\"", r"'[^'\\\n]*'", "`[^`]*`"
+# What a line must hold to count as a function, a class or an import (a name in a group), and what a string is, by language.
+# Others use javascript's.
 PACKS = {
-    "python": (r"^" + _W + r"(?:async[ \t]+)?def[ \t]+(\w+)" + _W + r"\(", r"^" + _W + r"class[ \t]+(\w+)" + _W + r"[:(]", r"^" + _W + r"(?:import|from)[ \t]+\S+", r"\"[^\"\\\n]*\"|'[^'\\\n]*'"),
-    "javascript": (r"\bfunction[ \t]+(\w+)|\b(?:const|let|var)[ \t]+(\w+)" + _W + r"=" + _W + r"(?:async[ \t]+)?(?:function\b|\()", r"\bclass[ \t]+(\w+)", r"\bimport[ \t]|\brequire\(", r"`[^`]*`|\"[^\"\\\n]*\"|'[^'\\\n]*'"),
-    "java": (r"(?:public|private|protected|static)[ \t]+[\w<>\[\]]+[ \t]+(\w+)" + _W + r"\(", r"\bclass[ \t]+(\w+)", r"^" + _W + r"import[ \t]+[\w.]+;", r"\"[^\"\\\n]*\""),
-    "php": (r"\bfunction[ \t]+(\w+)" + _W + r"\(", r"\bclass[ \t]+(\w+)", r"\b(?:require|include|use)[ \t]", r"\"[^\"\\\n]*\"|'[^'\\\n]*'"),
-    "go": (r"\bfunc[ \t]+(?:\(\w+[ \t]+\*?\w+\)[ \t]+)?(\w+)" + _W + r"\(", r"\btype[ \t]+(\w+)[ \t]+struct", r"\"[\w/.-]+\"", r"`[^`]*`|\"[^\"\\\n]*\""),
+    "python": (r"^[ \t]*(?:async +)?def +(\w+)", r"^[ \t]*class +(\w+)", r"^[ \t]*(?:from|import) +\S", f"{_DOUBLE}|{_SINGLE}"),
+    "javascript": (r"\bfunction\b[ \t]+(\w+)|\b(?:const|let|var)\b[ \t]+(\w+)[ \t]*=[ \t]*(?:async\b[ \t]*)?(?:\(|function\b)", r"\bclass\b[ \t]+(\w+)", r"\b(?:import[ \t]|require\()", f"{_BACKTICK}|{_DOUBLE}|{_SINGLE}"),
+    "java": (r"\b(?:private|protected|public|static)[ \t]+[^\s()=;]+[ \t]+(\w+)[ \t]*\(", r"\bclass\b[ \t]+(\w+)", r"^[ \t]*import\b[^;\n]+;", _DOUBLE),
+    "php": (r"\bfunction\b[ \t]+&?(\w+)", r"\bclass\b[ \t]+(\w+)", r"\b(?:use|include|require)[ \t]", f"{_DOUBLE}|{_SINGLE}"),
+    "go": (r"\bfunc\b[ \t]*(?:\([^()\n]*\))?[ \t]*(\w+)[ \t]*\(", r"\btype\b[ \t]+(\w+)[ \t]+struct\b", r"\"[\w./-]+\"", f"{_BACKTICK}|{_DOUBLE}"),
 }
 KINDS = ("function", "class", "import")
 
@@ -70,10 +71,8 @@ def nodes(files: DataFrame) -> DataFrame:
         of = pack_of(F.coalesce("language", F.lit(""))) == pack
         strings = F.when(of, F.regexp_extract_all("content", F.lit(patterns[3]), F.lit(0))).otherwise(strings)
         gaps = F.when(of, F.split("content", patterns[3], -1)).otherwise(gaps)
-    count = lambda t: F.length(t) - F.length(F.replace(t, F.lit("\n"), F.lit("")))
-    total = lambda a, n: F.aggregate(F.slice(F.transform(a, count), F.lit(1), n), F.lit(1), lambda s, x: s + x)
-    read = files.withColumns({"_s": strings, "_g": gaps})
-    literals = read.select("path", F.explode(F.transform("_s", lambda t, i: F.struct(F.lit("string").alias("kind"), F.lit("").alias("name"), F.left(t, F.lit(200)).alias("text"), (total(F.col("_g"), i + 1) + total(F.col("_s"), i) - 1).alias("line_no")))).alias("n")).select("path", "n.*")
+    read = files.select("path", positions(strings, gaps).alias("_found"))
+    literals = read.select("path", F.explode("_found").alias("m")).select("path", F.lit("string").alias("kind"), F.lit("").alias("name"), F.left("m.text", F.lit(200)).alias("text"), F.col("m.line_start").alias("line_no"))
     return structure.unionByName(literals)
 
 

@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rulestream.catalogs.secrets import CONFIDENCE, CWE, SECRETS
-from rulestream.functions.text import entropy, java, snippet, split_lines
+from rulestream.functions.text import entropy, java, snippet
+from rulestream.operators.rows import explode_findings, finding
 
 
 def _found(text: Column, number: int) -> Column:
@@ -16,21 +17,23 @@ def _found(text: Column, number: int) -> Column:
     return F.filter(values, lambda v: entropy(v["value"]) >= least) if least else values
 
 
-def secret_hits(files: DataFrame) -> DataFrame:
-    """(path, line_no, text, _lines, ord, k, value) of all secrets, from the file's row."""
-    step = files.withColumn("_lines", split_lines(F.col("content"))).select("path", "_lines", F.posexplode("_lines").alias("_at", "text"))
+def secret_rows(lines: Column) -> Column:
+    """A file's secrets as findings; the value itself stays out of the title."""
+    names, severities = (F.array(*(F.lit(s[i]) for s in SECRETS)) for i in (0, 1))
     # one pattern thins the lines out before each is tried
-    step = step.where(F.col("text").rlike(java("|".join(f"(?:{p})" for *_, p in SECRETS), many_lines=False)))
-    hits = F.flatten(F.array(*(_found(F.col("text"), i) for i in range(len(SECRETS)))))
-    return step.select("path", "_lines", (F.col("_at") + 1).alias("line_no"), "text", F.explode(hits).alias("h")).select("path", "_lines", "line_no", "text", "h.*")
+    some = java("|".join(f"(?:{p})" for *_, p in SECRETS), many_lines=False)
+    rows = F.filter(F.transform(lines, lambda t, i: F.struct((i + 1).alias("n"), t.alias("t"))), lambda r: r["t"].rlike(some))
+
+    def one(r: Column, h: Column) -> Column:
+        name = F.get(names, h["ord"])
+        return finding(
+            stage_ord=1, rule_id=name, title=F.concat(F.lit("Secret in source: "), name), category="secret", severity=F.get(severities, h["ord"]), line_start=r["n"], line_end=r["n"], snippet=snippet(lines, r["n"], r["n"]),
+            cwe_id=CWE, owasp="A02:2021", confidence=CONFIDENCE, method="secret_detection", source=F.left(F.btrim(r["t"]), F.lit(300)), ord_a=h["ord"], ord_b=h["k"],
+        )
+
+    return F.flatten(F.transform(rows, lambda r: F.transform(F.flatten(F.array(*(_found(r["t"], i) for i in range(len(SECRETS))))), lambda h: one(r, h))))
 
 
 def secret_findings(files: DataFrame) -> DataFrame:
-    """Secrets as findings; the value itself stays out of the title."""
-    pick = lambda i: F.element_at(F.array(*(F.lit(s[i]) for s in SECRETS)), F.col("ord") + 1)
-    return secret_hits(files).select(
-        F.lit(1).alias("stage_ord"), pick(0).alias("rule_id"), F.concat(F.lit("Secret in source: "), pick(0)).alias("title"), F.lit("secret").alias("category"), pick(1).alias("severity"), F.col("path").alias("file_path"),
-        F.col("line_no").alias("line_start"), F.col("line_no").alias("line_end"), F.lit(0).alias("col_start"), snippet(F.col("_lines"), F.col("line_no"), F.col("line_no")).alias("snippet"),
-        F.lit(CWE).alias("cwe_id"), F.lit("A02:2021").alias("owasp"), F.lit(CONFIDENCE).alias("confidence"), F.lit("secret_detection").alias("method"), F.left(F.btrim("text"), F.lit(300)).alias("source"), F.lit(None).cast("string").alias("sink"),
-        F.col("ord").cast("bigint").alias("ord_a"), F.col("k").cast("bigint").alias("ord_b"),
-    )
+    """Secrets as findings."""
+    return explode_findings(files, secret_rows)

@@ -252,6 +252,10 @@ ORACLES["u6_ranked"] = f"WITH {SEV} SELECT rule_id, file_path, line_start, CAST(
 ORACLES["u7_profile_quick"] = f"""
 WITH {_M}, d AS ({_DEPS}), s AS (SELECT DISTINCT rule_id, path, line_no, severity FROM ({LINES} {_secrets("lines")}))
 SELECT rule_id, severity, count(*) AS n FROM (SELECT rule_id, severity FROM d UNION ALL SELECT rule_id, severity FROM s) GROUP BY ALL"""
+for _profile, _severe, _budget in (("deep", "'CRITICAL', 'HIGH'", 10), ("bug_bounty", "'CRITICAL', 'HIGH', 'MEDIUM'", 20)):
+    ORACLES[f"u7_profile_{_profile}"] = f"""
+WITH s AS (SELECT count(*) AS n, least({_budget}, count(*) FILTER (severity IN ({_severe}))) AS asked FROM ({_ALL}))
+SELECT ai_analyzed, exploitability, n FROM (SELECT TRUE AS ai_analyzed, 'MEDIUM' AS exploitability, asked AS n FROM s UNION ALL SELECT FALSE, NULL, n - asked FROM s) WHERE n > 0"""
 ORACLES["u8_single_text"] = f"SELECT rule_id, count(*) AS n FROM ({_ALL}) GROUP BY rule_id"
 
 # enrichment, triage

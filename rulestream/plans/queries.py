@@ -274,6 +274,16 @@ def u7_profile_quick(spark: SparkSession, d: str) -> DataFrame:
     return fnd.scan(both, "quick").groupBy("rule_id", "severity").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query
+def u7_profile_deep(spark: SparkSession, d: str) -> DataFrame:
+    return fnd.scan(corpus.files(spark, d), "deep").groupBy("ai_analyzed", "exploitability").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query
+def u7_profile_bug_bounty(spark: SparkSession, d: str) -> DataFrame:
+    return fnd.scan(corpus.files(spark, d), "bug_bounty").groupBy("ai_analyzed", "exploitability").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query
 def u8_single_text(spark: SparkSession, d: str) -> DataFrame:
     return fnd.scan(corpus.files(spark, d), "quick", single=True).groupBy("rule_id").agg(F.count(F.lit(1)).alias("n"))

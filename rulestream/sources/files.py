@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import io
+import re
 import zipfile
 from collections.abc import Iterator
 from functools import reduce
@@ -17,6 +18,7 @@ from rulestream.functions.text import base_name, relative_path
 from rulestream.operators.parse import detect_language
 
 MOST_UPLOAD_BYTES = 50 * 1024 * 1024
+MOST_UNPACKED_BYTES = 20 * MOST_UPLOAD_BYTES
 
 
 def discovered(path: Column, size: Column) -> Column:
@@ -39,21 +41,24 @@ def from_bytes(rows: DataFrame, base: str = "") -> DataFrame:
 
 
 def decoded(content: Column) -> Column:
-    """Bytes as UTF-8, with replacement characters for what isn't: valid text stays in the JVM, Python decodes the rest."""
-
-    @F.pandas_udf("string")
-    def replace(parts: pd.Series) -> pd.Series:
-        return parts.map(lambda b: None if b is None else bytes(b).decode("utf-8", "replace"))
-
-    valid = F.is_valid_utf8(content.cast("string"))
-    return F.when(valid, content.cast("string")).otherwise(replace(F.when(~valid, content)))
+    """Bytes as UTF-8, with replacement characters for what isn't."""
+    return F.make_valid_utf8(content.cast("string"))
 
 
 def read_directory(spark: SparkSession, root: str) -> DataFrame:
     """(path, language, content) of a directory tree. Large files are dropped before their content is read."""
     rows = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).where(F.col("length") <= dims.MOST_BYTES)
-    full = F.regexp_replace("path", r"^file:/+", "/")
-    return from_bytes(rows.select(full.alias("path"), "length", "content"), root)
+    full = F.regexp_replace("path", r"^[A-Za-z][A-Za-z0-9+.-]*:(?://[^/]*)?/+", "/")
+    base = re.sub(r"^[A-Za-z][A-Za-z0-9+.-]*:(?://[^/]*)?/+", "/", root)
+    return from_bytes(rows.select(full.alias("path"), "length", "content"), base)
+
+
+def read_upload(spark: SparkSession, path: str) -> DataFrame:
+    """(path, language, content) of an upload of at most 50 MB: the entries of a zip archive, or the file itself, by its name."""
+    if path.lower().endswith(".zip"):
+        return from_bytes(read_zip(spark, path))
+    rows = spark.read.format("binaryFile").load(path).where(F.col("length") <= MOST_UPLOAD_BYTES)
+    return from_bytes(rows.select(base_name(F.col("path")).alias("path"), "length", "content"))
 
 
 def read_zip(spark: SparkSession, glob: str) -> DataFrame:
@@ -63,6 +68,9 @@ def read_zip(spark: SparkSession, glob: str) -> DataFrame:
         for part in parts:
             for data in part["content"]:
                 with zipfile.ZipFile(io.BytesIO(data)) as archive:
+                    # what unpacks to very much more than it is, is no upload of sources
+                    if sum(entry.file_size for entry in archive.infolist()) > MOST_UNPACKED_BYTES:
+                        continue
                     for entry in archive.infolist():
                         if not entry.is_dir() and entry.file_size <= dims.MOST_BYTES:
                             yield pd.DataFrame([(entry.filename, entry.file_size, archive.read(entry))], columns=["path", "length", "content"])

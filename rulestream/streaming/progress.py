@@ -23,11 +23,15 @@ def phase_of(progress: Column) -> Column:
     return out
 
 
+def newest(events: DataFrame) -> DataFrame:
+    """(scan_id, ts, seq, status, phase, progress, findings): the newest event of each scan."""
+    fields = ("ts", "seq", "status", "phase", "progress", "findings")
+    return events.groupBy("scan_id").agg(F.max_by(F.struct(*fields), F.struct("ts", "seq")).alias("s")).select("scan_id", "s.*")
+
+
 def latest(events: DataFrame) -> DataFrame:
-    """(scan_id, ts, status, phase, progress, findings, done): the newest event of each scan."""
-    state = F.max_by(F.struct("ts", "status", "phase", "progress", "findings"), F.struct("ts", "seq"))
-    rows = events.groupBy("scan_id").agg(state.alias("s")).select("scan_id", "s.*")
-    return rows.withColumn("done", F.col("status").isin(*dims.FINAL))
+    """``newest``, with ``done`` for states that are final."""
+    return newest(events).drop("seq").withColumn("done", F.col("status").isin(*dims.FINAL))
 
 
 def read_progress(spark: SparkSession, folder: str, schema: str = "scan_id bigint, ts timestamp, seq bigint, status string, phase string, progress int, findings int") -> DataFrame:
@@ -35,9 +39,18 @@ def read_progress(spark: SparkSession, folder: str, schema: str = "scan_id bigin
     return spark.readStream.schema(schema).parquet(folder)
 
 
-def follow(events: DataFrame, name: str, checkpoint: str) -> StreamingQuery:
-    """The latest state of each scan in a table in memory, updated with each batch."""
-    return latest(events).writeStream.outputMode("complete").format("memory").queryName(name).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def follow(events: DataFrame, folder: str, checkpoint: str) -> StreamingQuery:
+    """Write the newest event of each scan in each batch; no state is held, and a batch that is run again replaces its own output."""
+
+    def run(batch: DataFrame, number: int) -> None:
+        newest(batch).write.mode("overwrite").parquet(f"{folder}/batch={number}")
+
+    return events.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def followed(spark: SparkSession, folder: str) -> DataFrame:
+    """The latest state of each scan over all batches so far."""
+    return latest(spark.read.parquet(folder))
 
 
 def scan_arrivals(files: DataFrame, scan: Callable[[DataFrame], DataFrame], folder: str, checkpoint: str) -> StreamingQuery:

@@ -87,10 +87,10 @@ def test_progress_stream(spark, tmp_path):
     one = "SELECT CAST({0} AS BIGINT) scan_id, TIMESTAMP '2024-01-01 00:00:{1}' ts, CAST({1} AS BIGINT) seq, '{2}' status, 'parsing' phase, {1} progress, 0 findings"
     spark.sql(f"{one.format(1, 10, 'running')} UNION ALL {one.format(2, 11, 'running')}").coalesce(1).write.parquet(str(tmp_path / "in"))
     stream = progress.read_progress(spark, str(tmp_path / "in"), schema)
-    progress.follow(stream, "progress_test", str(tmp_path / "c")).awaitTermination()
+    progress.follow(stream, str(tmp_path / "out"), str(tmp_path / "c")).awaitTermination()
     spark.sql(one.format(1, 20, "completed")).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
-    progress.follow(stream, "progress_test", str(tmp_path / "c")).awaitTermination()
-    assert {(r["scan_id"], r["progress"], r["done"]) for r in spark.sql("SELECT * FROM progress_test").collect()} == {(1, 20, True), (2, 11, False)}
+    progress.follow(stream, str(tmp_path / "out"), str(tmp_path / "c")).awaitTermination()
+    assert {(r["scan_id"], r["progress"], r["done"]) for r in progress.followed(spark, str(tmp_path / "out")).collect()} == {(1, 20, True), (2, 11, False)}
 
 
 def test_files_scanned_as_they_arrive(spark, tmp_path):
