@@ -45,13 +45,15 @@ def prefix_for(docs: DataFrame) -> str:
 
 def with_statistics(docs: DataFrame, prefix: str = "_q_") -> DataFrame:
     """``docs`` with the statistics, as doubles, under ``prefix``."""
-    text = F.coalesce(valid(), F.lit(""))
+    own = free(docs, "_v", "_t", "_l", "_n", "_c", "_d", "_ln", "_len")
+    v, t, ls, nw, nc, d, ln, lens = own
+    text = F.col(v)
     n = lambda c: c.cast("double")
     without_chars = lambda chars: F.length(text) - F.length(F.translate(text, chars, ""))
     trimmed = F.btrim(text, F.lit(WS_CHARS))
-    own = free(docs, "_t", "_l", "_n", "_c", "_d", "_ln", "_len")
-    t, ls, nw, nc, d, ln, lens = own
-    step = docs.withColumn(t, F.when(trimmed == "", F.array().cast("array<string>")).otherwise(F.split(trimmed, WS_RE, -1)))
+    # a column of its own, so that the bytes are checked once and not again for each statistic
+    step = docs.withColumn(v, F.coalesce(valid(), F.lit("")))
+    step = step.withColumn(t, F.when(trimmed == "", F.array().cast("array<string>")).otherwise(F.split(trimmed, WS_RE, -1)))
     step = step.withColumn(ls, F.filter(F.split(text, "\n", -1), lambda x: F.btrim(x, F.lit(WS_CHARS)) != ""))
     step = step.withColumns({nw: n(F.size(t)), nc: n(F.length(text)), d: F.array_distinct(t), ln: n(F.size(ls)), lens: F.transform(t, lambda w: F.length(w))})
     some, chars, lines = F.greatest(nw, F.lit(1.0)), F.greatest(nc, F.lit(1.0)), F.greatest(ln, F.lit(1.0))
