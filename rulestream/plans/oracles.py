@@ -228,7 +228,7 @@ ORACLES["d2_d7_packages"] = f"WITH {_M} SELECT path, ecosystem, name, version, l
 _SEVERITY = "CASE WHEN coalesce(score, 0) >= 9 THEN 'CRITICAL' WHEN coalesce(score, 0) >= 7 THEN 'HIGH' WHEN coalesce(score, 0) >= 4 THEN 'MEDIUM' WHEN coalesce(score, 0) > 0 THEN 'LOW' WHEN upper(label) IN ('CRITICAL', 'HIGH', 'MEDIUM', 'LOW') THEN upper(label) ELSE 'MEDIUM' END"
 ORACLES["d8_advisories"] = f"""
 WITH {facts.sql("packages", "advisories")},
-p AS (SELECT path, ecosystem, CAST(pkg_ord % 70 AS INT) AS pkg_ord, min(name) AS name, min(version) AS version FROM packages GROUP BY ALL)
+p AS (SELECT 'src/n' || (pkg_ord // 70) AS path, ecosystem, CAST(pkg_ord % 70 AS INT) AS pkg_ord, name, version FROM packages)
 SELECT path, pkg_ord, ecosystem, name, version, advisory_id, {_SEVERITY} AS severity, fixed
 FROM p JOIN advisories USING (ecosystem, name, version) WHERE pkg_ord < 50
 QUALIFY row_number() OVER (PARTITION BY path, pkg_ord ORDER BY vuln_ord, advisory_id) <= 3"""
