@@ -74,10 +74,12 @@ def with_stats(docs: DataFrame, window: int = 8) -> DataFrame:
 
 def _lines(docs: DataFrame) -> DataFrame:
     """(host, key, doc_id, th, w) of (host, doc_id, th, text): each line with words, hashed; w words."""
-    line = F.explode(F.split(F.lower(F.coalesce(F.col("text"), F.lit(""))), "\n", -1)).alias("line")
-    step = docs.select("host", "doc_id", "th", line).withColumn("line", F.btrim("line", F.lit(WS_CHARS))).where(F.col("line") != "")
-    words = F.split("line", WS_RE, -1)
-    return step.select("host", "doc_id", "th", F.unhex(F.md5(F.array_join(words, " "))).alias("key"), F.size(words).alias("w"))
+    # white space within lines is folded once for the whole text, so words needn't be cut out to be counted
+    folded = F.regexp_replace(F.lower(F.coalesce(F.col("text"), F.lit(""))), r"[\x20\x09\x0B-\x0D]+", " ")
+    step = docs.select("host", "doc_id", "th", F.explode(F.split(folded, "\n", -1)).alias("line"))
+    step = step.withColumn("line", F.btrim("line", F.lit(" "))).where(F.col("line") != "")
+    words = F.octet_length("line") - F.octet_length(F.replace("line", F.lit(" "), F.lit(""))) + 1
+    return step.select("host", "doc_id", "th", F.unhex(F.md5("line")).alias("key"), words.alias("w"))
 
 
 def _slim(docs: DataFrame, host: str) -> DataFrame:
