@@ -83,6 +83,46 @@ def test_models_as_brute_force(spark):
     assert np.allclose(model.models.differences(text), [np.mean(each), *best])
 
 
+def many_toxic_rows(n):
+    """More ordinary rows than any bounded draw of a few thousand takes, with words that few of them hold."""
+    rng = random.Random(12)
+    rows = [(i, int(i % 10 == 0), words(rng, 5) + f" {'foul' if i % 10 == 0 else 'mild'}{rng.choice('abcdefgh') * 3}{rng.choice('pqrst')}") for i in range(n)]
+    return [(i, k, f"{t}\n{rng.choice('xyz')} seldom{'abcdefghijklmnopqrstuvwxyz'[i % 26]}" if i % 97 == 0 else t) for i, k, t in rows]
+
+
+def test_every_labelled_row_counts(spark):
+    rows = many_toxic_rows(6000)
+    docs = spark.createDataFrame([(i, t) for i, _, t in rows], "doc_id long, text string")
+    model = toxicity.train(docs, spark.createDataFrame([(i, k) for i, k, _ in rows], "doc_id long, toxic int"))
+    mine = [(k, t) for i, k, t in rows if zlib.crc32(str(i).encode()) % 5]
+    assert sum(k == 0 for k, _ in mine) > 4000
+    found, unknown = brute_models(mine, [t for _, _, t in rows], toxicity.RARE)
+    assert model.models.words.keys() == found.keys()
+    assert all(model.models.words[w] == pytest.approx(v, abs=1e-9) for w, v in found.items()) and model.models.unknown == pytest.approx(unknown, abs=1e-9)
+
+
+def test_joins_by_shuffle_give_the_same_model(spark, monkeypatch):
+    rows = toxic_rows(random.Random(4), 120)
+    docs = spark.createDataFrame([(i, t) for i, _, t in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, k) for i, k, _ in rows], "doc_id long, toxic int")
+    a = toxicity.train(docs, labels)
+    monkeypatch.setattr(toxicity, "BROADCAST_ROWS", 0)
+    b = toxicity.train(docs, labels)
+    assert len(a.models.words) > 20 and a.models == b.models and a.prior == b.prior and np.allclose(a.weights, b.weights)
+
+
+def test_the_curve_takes_all_rows(spark):
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(700, 3)) * [1, 5, 0.1] + [0, 2, 1]
+    y = (x @ [1, 0.3, 2] + rng.normal(size=700) > 3).astype(float)
+    rows = spark.createDataFrame([(int(k), v.tolist()) for k, v in zip(y, x)], "label int, x array<double>").repartition(5)
+    w = toxicity.fit_logistic(rows)
+    # where the fit ends, the slope over all rows is that of the penalty
+    slope = np.column_stack([x, np.ones(700)]).T @ (y - 1 / (1 + np.exp(-(x @ w[:3] + w[3]))))
+    spread = x.std(0)
+    assert np.allclose((slope[:3] - x.mean(0) * slope[3]) / spread, 0.07 * w[:3] * spread, atol=1e-4) and abs(slope[3]) < 1e-3
+
+
 def test_toxicity_of_odd_rows(spark):
     docs = spark.createDataFrame(ODD, DOCS)
     rows = toxic_rows(random.Random(3), 80)
