@@ -1,4 +1,5 @@
 import io
+import json
 import zipfile
 
 from pyspark.sql import functions as F
@@ -66,6 +67,22 @@ def test_a_failing_provider_leaves_the_defaults(spark):
     assert enrich.enrich(rows, "deep", None).first()["ai_analyzed"] is False
 
 
+def test_the_provider_is_asked_once_about_each_of_the_first_severe_findings(spark, tmp_path):
+    def provider(prompt):
+        with open(tmp_path / "calls", "a") as out:
+            out.write(f"{json.loads(prompt)['title']}\n")
+        return '{"is_valid": false}' if "t3 " in prompt else '{"confidence": 0.9}'
+
+    scans = [1] * 13 + [2] * 3 + [None] * 2
+    kinds = ["LOW", *["HIGH"] * 12, "CRITICAL", "INFO", "HIGH", "HIGH", "LOW"]
+    rows = [(s, i, k, f"t{i} ", "xss", "f", "s", None, None, 0.8) for i, (s, k) in enumerate(zip(scans, kinds))]
+    found = spark.createDataFrame(rows, "scan_id int, seq int, severity string, title string, category string, file_path string, snippet string, source string, sink string, confidence double")
+    asked = [*range(1, 11), 13, 15, 16]
+    said = enrich.enrich(found, "deep", provider).select("seq", "ai_analyzed", "confidence").collect()
+    assert sorted(tuple(r) for r in said) == [(i, i in asked, 0.9 if i in asked else 0.8) for i in range(18) if i != 3]
+    assert sorted((tmp_path / "calls").read_text().split()) == sorted(f"t{i}" for i in asked)
+
+
 def test_triage_order(spark):
     f = spark.createDataFrame([(1, "open", False), (2, "open", False)], "finding_id long, status string, is_false_positive boolean")
     log = spark.createDataFrame([(1, 1, 1, None, True, "r"), (1, 2, 1, None, False, None), (2, 1, 1, "bad", None, None), (2, 1, 2, "fixed", None, None)], "finding_id long, ts long, seq long, status string, is_false_positive boolean, reason string")
