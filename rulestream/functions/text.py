@@ -33,7 +33,8 @@ def newlines(text: Column) -> Column:
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """``body`` of a value that is computed once, however often the body names it."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
+    # get() would work out its type, and so that of the whole body, again for each row
+    return F.element_at(F.transform(F.array(value), body), 1)
 
 
 #: Matches are summed up by blocks of so many, so that n matches take n times this plus the square of the number of blocks.
@@ -99,7 +100,8 @@ def snippet(lines: Column, first: Column, last: Column, around: int = 2) -> Colu
     def one(text: Column, k: Column) -> Column:
         n = begin + k
         mark = F.when((n >= first) & (n <= last), ">>> ").otherwise("    ")
-        return F.concat(mark, F.format_string("%4d", n.cast("int")), F.lit(" | "), text)
+        said = n.cast("int").cast("string")
+        return F.concat(mark, F.when(n < 1000, F.lpad(said, 4, " ")).otherwise(said), F.lit(" | "), text)
 
     return F.when(stop >= begin, F.array_join(F.transform(F.slice(lines, begin, stop - begin + 1), one), "\n")).otherwise("")
 

@@ -1,6 +1,8 @@
 import pytest
+from pyspark.sql import functions as F
 
 from rulestream.catalogs.checks import CHECKS
+from rulestream.functions.text import snippet
 from rulestream.operators import context, taint
 
 
@@ -80,3 +82,15 @@ def test_first_flow_wins(spark):
     files = spark.createDataFrame([("a", "python", "v = input()\ndb.execute(v)\ncursor.execute(v)")], "path string, language string, content string")
     rows = findings.dedup(taint.taint_findings(files)).collect()
     assert [(r["rule_id"], r["line_start"], r["line_end"], r["confidence"]) for r in rows] == [("TAINT_SQL_INJECTION", 1, 2, 0.75)]
+
+
+def test_lines_are_lower_cased_once_for_all_checks(spark):
+    files = spark.createDataFrame([("a.py", "python", "x = 1\n")], "path string, language string, content string")
+    plan = context.context_findings(files)._jdf.queryExecution().analyzed().toString()
+    assert plan.count("lower(lambda") == 1
+
+
+def test_line_numbers_of_snippets_are_padded_and_never_cut(spark):
+    numbers = [1, 42, 999, 1000, 12345]
+    rows = spark.range(1).select(F.explode(F.array(*map(F.lit, numbers))).alias("n")).select(snippet(F.transform(F.sequence(F.lit(1), F.lit(12345)), lambda i: F.lit("x")), F.col("n"), F.col("n"), 0)).collect()
+    assert [r[0] for r in rows] == [f">>> {n:4d} | x" for n in numbers]
